@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components
+from . import components, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,4 +17,18 @@ def p1_found(spark, sf_dir):
     return groups.select(F.col("id").alias("memory_id"), "group_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def _note_words(spark, sf_dir):
+    return neardup.note_words(_table(spark, sf_dir, "memory_notes")).withColumnRenamed("memory_id", "id")
+
+
+def p6_found(spark, sf_dir):
+    pairs = neardup.similar_pairs(_note_words(spark, sf_dir), "0.7")
+    return pairs.select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
+
+
+def p6_groups(spark, sf_dir):
+    groups = neardup.similar_groups(_note_words(spark, sf_dir), "0.7")
+    return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups}

@@ -16,4 +16,15 @@ reach as (
 select a as memory_id, min(b) as group_id from reach group by a
 """
 
-ORACLE = {"p1_found": P1_FOUND}
+P6_FOUND = """
+with w as (
+  select distinct memory_id, list_distinct(list_transform(regexp_extract_all(coalesce(content, '') || ' ' || coalesce(summary, ''), '[\\p{L}\\p{N}]+'), lambda x: lower(x))) words
+  from memory_notes where memory_id is not null
+), t as (select memory_id, len(words) n, unnest(words) tok from w)
+select a.memory_id memory_id_a, b.memory_id memory_id_b
+from t a join t b on a.tok = b.tok and a.memory_id < b.memory_id and a.n * 10 >= b.n * 7 and b.n * 10 >= a.n * 7
+group by a.memory_id, b.memory_id, a.n, b.n
+having count(*) * 17 >= 7 * (a.n + b.n)
+"""
+
+ORACLE = {"p1_found": P1_FOUND, "p6_found": P6_FOUND}
