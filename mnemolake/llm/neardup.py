@@ -23,38 +23,66 @@ of a frequent word are split over several tasks, the queries visit each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import connected_groups
 
-WORD = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+").findall
 MAX_FREQUENT = 500_000
 MIN_FLOOR = 1000
 POSTINGS_PER_TASK = 8192
 GROUP = 16
 
 
-def note_words(notes: DataFrame) -> DataFrame:
-    """``(memory_id, words)``: the distinct lower-cased maximal runs of letters
-    and digits of content and summary. Null texts are empty, rows without id or
-    without any word are left out, rows delivered twice count once."""
-    text = F.concat_ws(" ", "content", "summary")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), F.lower))
-    return notes.where("memory_id is not null").select("memory_id", words.alias("words")).where(F.size("words") > 0)
+def note_texts(notes: DataFrame) -> DataFrame:
+    """``(id, text)``: content and summary of each note, nulls as empty; rows
+    without an id are left out."""
+    return notes.where("memory_id is not null").select(F.col("memory_id").alias("id"), F.concat_ws(" ", "content", "summary").alias("text"))
 
 
-def _sets(records: DataFrame) -> DataFrame:
-    """``(id, doc, toks)``: doc is a hash of the whole set, toks are 32-bit
-    hashes of its words (words that fall together only raise an upper bound)."""
-    hashed = records.select("id", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
-    return hashed.select("id", F.xxhash64("h").alias("doc"), F.transform("h", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("toks"))
+def words_of(text: str | None) -> set[str]:
+    """The distinct lower-cased maximal runs of letters and digits."""
+    return {w.lower() for w in _WORD(text)} if text else set()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, doc, toks)``: doc is a hash of the whole set, toks are 31-bit hashes
+    of its words (words that fall together only raise an upper bound)."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        docs, toks = [], []
+        for text in batch.column("text").to_pylist():
+            full = []
+            for w in words_of(text):
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = xxhash.xxh64_intdigest(w)
+                full.append(h)
+            full.sort()
+            arr = np.array(full, np.uint64)
+            docs.append(np.uint64(xxhash.xxh64_intdigest(arr.tobytes())).view(np.int64))
+            toks.append((arr & np.uint64(0x7FFFFFFF)).astype(np.int32))
+        if len(known) > 1_000_000:
+            known.clear()
+        offsets = np.r_[0, np.cumsum([len(t) for t in toks])].astype(np.int32)
+        values = pa.array(np.concatenate(toks) if toks else np.empty(0, np.int32))
+        out = pa.record_batch({"id": batch.column("id"), "doc": pa.array(np.array(docs, np.int64)), "toks": pa.ListArray.from_arrays(pa.array(offsets), values)})
+        yield out.filter(pa.array(np.diff(offsets) > 0))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [list(words_of(x)) for x in batch.column("text").to_pylist()]
+        yield pa.record_batch({"id": batch.column("id"), "words": pa.array(words, pa.list_(pa.string()))})
 
 
 def _need(a, b, p: int, q: int):
@@ -189,7 +217,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[p
 class SimilarSets:
     """Pairs of different word sets with a Jaccard similarity of ``least`` or more.
 
-    ``records``: ``(id, words)`` with distinct words. ``classes()`` has a row per
+    ``records``: ``(id, text)``, a record being the set of its text's words. ``classes()`` has a row per
     id with the representative (smallest id) of the records with an equal set;
     ``links()`` the pairs of representatives. Records without words belong to no
     class; rows repeated count once; an empty table gives empty results.
@@ -202,7 +230,8 @@ class SimilarSets:
         self.p, self.q = share.numerator, share.denominator
         self.records, self.spark = records, records.sparkSession
         self.scratch = Scratch(self.spark, "sets")
-        self.sets = self.scratch.keep(_sets(records), "sets")
+        kind = records.schema["id"].dataType.simpleString()
+        self.sets = self.scratch.keep(records.select("id", "text").mapInArrow(_sets, f"id {kind}, doc long, toks array<int>"), "sets")
         self.first = self.sets.groupBy("doc").agg(F.min("id").alias("rep"))
 
     def classes(self) -> DataFrame:
@@ -232,7 +261,9 @@ class SimilarSets:
         """Exact check of candidate pairs on the words themselves."""
         pairs = self.scratch.keep(pairs, "named")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        words = self.scratch.keep(self.records.join(asked, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words")), "words")
+        kind = self.records.schema["id"].dataType.simpleString()
+        texts = self.records.select("id", "text").join(asked, "id", "left_semi")
+        words = self.scratch.keep(texts.mapInArrow(_words, f"id {kind}, words array<string>").dropDuplicates(["id"]), "words")
         both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("u")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("v")), "b")
         shared = F.size(F.array_intersect("u", "v"))
         return both.where(shared * (self.p + self.q) >= self.p * (F.size("u") + F.size("v"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
