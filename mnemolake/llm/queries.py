@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, neardup
+from . import components, neardup, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,27 @@ def p1_found(spark, sf_dir):
     return groups.select(F.col("id").alias("memory_id"), "group_id")
 
 
-def _note_words(spark, sf_dir):
-    return neardup.note_words(_table(spark, sf_dir, "memory_notes")).withColumnRenamed("memory_id", "id")
+def p2_found(spark, sf_dir):
+    return pii.find(_table(spark, sf_dir, "memory_notes")).select("memory_id", "note_field", "pii_type", "nth")
+
+
+def p2_sanitised(spark, sf_dir):
+    notes = _table(spark, sf_dir, "memory_notes").select("memory_id", "content", "facts")
+    return pii.sanitise(notes).distinct()
+
+
+def _note_texts(spark, sf_dir):
+    return neardup.note_texts(_table(spark, sf_dir, "memory_notes"))
 
 
 def p6_found(spark, sf_dir):
-    pairs = neardup.similar_pairs(_note_words(spark, sf_dir), "0.7")
+    pairs = neardup.similar_pairs(_note_texts(spark, sf_dir), "0.7")
     return pairs.select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
 
 
 def p6_groups(spark, sf_dir):
-    groups = neardup.similar_groups(_note_words(spark, sf_dir), "0.7")
+    groups = neardup.similar_groups(_note_texts(spark, sf_dir), "0.7")
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p6_found": p6_found, "p6_groups": p6_groups}
