@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, neardup, pii
+from . import components, names, neardup, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def p2_sanitised(spark, sf_dir):
     return pii.sanitise(notes).distinct()
 
 
+def _graph_names(spark, sf_dir):
+    return names.graph_names(_table(spark, sf_dir, "entities"), _table(spark, sf_dir, "relationships"))
+
+
+def p3_found(spark, sf_dir):
+    return names.same_node_pairs(_graph_names(spark, sf_dir)).toDF("graph_id", "name_a", "name_b")
+
+
+def p3_groups(spark, sf_dir):
+    return names.link_names(_graph_names(spark, sf_dir)).toDF("graph_id", "name", "node_key")
+
+
 def _note_texts(spark, sf_dir):
     return neardup.note_texts(_table(spark, sf_dir, "memory_notes"))
 
@@ -40,4 +52,4 @@ def p6_groups(spark, sf_dir):
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_groups": p6_groups}
