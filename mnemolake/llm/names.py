@@ -171,7 +171,7 @@ def agree(a: list[str], b: list[str]) -> str:
         typos += rank == 1
         shorts += rank == 2
         anchor |= rank < 2 and len(t) >= 5
-    if typos > 1 or not anchor or shorts > 1:
+    if typos > 1 or not anchor or shorts > 1 + organisation:
         return ""
     if left and len(a) < 2 or len(left) > 1:
         return ""
