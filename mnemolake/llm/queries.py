@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, names, neardup, pii
+from . import components, knn, names, neardup, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,19 @@ def p3_groups(spark, sf_dir):
     return names.link_names(_graph_names(spark, sf_dir)).toDF("graph_id", "name", "node_key")
 
 
+def _note_vectors(spark, sf_dir):
+    return _table(spark, sf_dir, "note_vectors").select(F.col("memory_id").alias("id"), "vec")
+
+
+def p4_found(spark, sf_dir):
+    return knn.nearest_pairs(_note_vectors(spark, sf_dir)).toDF("memory_id_a", "memory_id_b")
+
+
+def p4_neighbours(spark, sf_dir):
+    found = knn.nearest(_note_vectors(spark, sf_dir))
+    return found.select(F.col("id").alias("memory_id"), "neighbour", F.round("cos", 6).alias("cos"), "rank")
+
+
 def _note_texts(spark, sf_dir):
     return neardup.note_texts(_table(spark, sf_dir, "memory_notes"))
 
@@ -52,4 +65,4 @@ def p6_groups(spark, sf_dir):
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_groups": p6_groups}
