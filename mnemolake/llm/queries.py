@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, knn, names, neardup, pii
+from . import chunking, components, knn, names, neardup, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p4_neighbours(spark, sf_dir):
     return found.select(F.col("id").alias("memory_id"), "neighbour", F.round("cos", 6).alias("cos"), "rank")
 
 
+def p5_found(spark, sf_dir):
+    return chunking.oversized(_table(spark, sf_dir, "text_chunks"))
+
+
+def p5_pieces(spark, sf_dir):
+    return chunking.split_chunks(_table(spark, sf_dir, "text_chunks"))
+
+
 def _note_texts(spark, sf_dir):
     return neardup.note_texts(_table(spark, sf_dir, "memory_notes"))
 
@@ -65,4 +73,4 @@ def p6_groups(spark, sf_dir):
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups}

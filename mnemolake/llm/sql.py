@@ -27,4 +27,20 @@ group by a.memory_id, b.memory_id, a.n, b.n
 having count(*) * 17 >= 7 * (a.n + b.n)
 """
 
-ORACLE = {"p1_found": P1_FOUND, "p6_found": P6_FOUND}
+P5_FOUND = r"""
+select distinct chunk_id from text_chunks
+where chunk_id is not null and len(regexp_extract_all(content, '[A-Za-z0-9]+|[^ \t\r\n]')) > 1200
+"""
+
+P4_FOUND = """
+with u as (
+  select memory_id id, min(vec::double[]) v from note_vectors
+  where memory_id is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0
+  group by memory_id
+), s as (
+  select a.id x, b.id y, row_number() over (partition by a.id order by list_cosine_similarity(a.v, b.v) desc, b.id) r from u a join u b on a.id <> b.id
+)
+select distinct least(x, y) memory_id_a, greatest(x, y) memory_id_b from s where r <= 5
+"""
+
+ORACLE = {"p4_found": P4_FOUND, "p5_found": P5_FOUND, "p1_found": P1_FOUND, "p6_found": P6_FOUND}
