@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, components, knn, names, neardup, pii
+from . import chunking, components, knn, mojibake, names, neardup, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,12 @@ def p6_groups(spark, sf_dir):
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
+def p9_found(spark, sf_dir):
+    return mojibake.restore_texts(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark, sf_dir):
+    return mojibake.restore_texts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_restored": p9_restored}
