@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, components, knn, mojibake, names, neardup, pii
+from . import chunking, components, knn, mixing, mojibake, names, neardup, packing, pii, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,31 @@ def p6_groups(spark, sf_dir):
     return groups.withColumnsRenamed({"id": "memory_id", "rep": "class_id"})
 
 
+def _counted(documents):
+    return tokens.count_tokens(documents.select(F.col("doc_id").alias("id"), "text"))
+
+
+def p7_packed(spark, sf_dir):
+    return packing.pack(_counted(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark, sf_dir):
+    return packing.report(packing.pack(_counted(_table(spark, sf_dir, "documents"))))
+
+
+def _mix(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    return mixing.Mix(documents, _counted(documents), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark, sf_dir):
+    return _mix(spark, sf_dir).documents()
+
+
+def p8_shares(spark, sf_dir):
+    return _mix(spark, sf_dir).report()
+
+
 def p9_found(spark, sf_dir):
     return mojibake.restore_texts(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -81,4 +106,4 @@ def p9_restored(spark, sf_dir):
     return mojibake.restore_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sanitised": p2_sanitised, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
