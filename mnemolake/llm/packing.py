@@ -3,14 +3,15 @@
 Shortest-pack-first over the length histogram. Only the histogram (at most
 ``capacity`` rows) reaches the driver. Lengths are placed from the longest to the
 shortest; a length goes into the packs with the most room, as many at a time as
-there are packs of one pattern or items of the length, else into new packs. The
+there are packs of one pattern or items of the length, else into new packs; packs
+whose room is just the length come first, which leaves less unused. The
 result are patterns with counts, so the work depends on the capacity, not on the
 number of items. Each length then has an ordered list of slots, and items find
 theirs by their rank within the length.
 
 Ranks are taken in buckets of a length with the buckets' offsets added, so that
-no length is ever sorted in one task. The slot table has at most 2 capacity
-patterns (a length starts one and splits one), which bounds the broadcast.
+no length is ever sorted in one task. The slot table has at most 3 capacity
+patterns (a length starts two and splits one), which bounds the broadcast.
 """
 
 from __future__ import annotations
@@ -45,14 +46,19 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
             raise ValueError("lengths must be from 1 to the capacity")
         items = histogram[length]
         while items:
+            while heap and -heap[0] not in room:
+                heapq.heappop(heap)
             if not heap or -heap[0] < length:
-                put(capacity - length, (length,), items)
+                # A new pack is the shortest, so the next items of the length follow into it.
+                each = capacity // length
+                for n, packs in ((each, items // each), (items % each, 1)):
+                    if n and packs:
+                        put(capacity - n * length, (length,) * n, packs)
                 break
-            left = -heap[0]
+            left = length if length in room else -heap[0]
             pattern, packs = room[left].pop()
             if not room[left]:
                 del room[left]
-                heapq.heappop(heap)
             used = min(packs, items)
             if packs > used:
                 put(left, pattern, packs - used)
