@@ -32,7 +32,7 @@ def strip_controls(c: Column) -> Column:
 def split_markers(c: Column, markers: list[str]) -> Column:
     """Split on any of the literal markers, parts trimmed, blanks dropped."""
     pattern = "|".join(re.escape(m) for m in markers)
-    return F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_float(c: Column) -> Column:
@@ -91,7 +91,7 @@ def keyphrases(c: Column) -> Column:
 
 def clean_facts(c: Column) -> Column:
     """Lines without bullets or numbers; blank and ``#`` lines dropped."""
-    lines = F.transform(F.split(c, "\n"), F.trim)
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
     return F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"^(?:[-*•]|\d+[.)])\s*", ""))), lambda x: x != "")
 

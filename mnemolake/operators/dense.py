@@ -29,7 +29,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     """Dot product over norms; epsilon is added to the denominator."""
-    return dot(a, b) / (norm(a) * norm(b) + epsilon)
+    of = lambda p: dot(p.a, p.b) / (norm(p.a) * norm(p.b) + epsilon)
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of)[0]
 
 
 def masked_mean(parts: DataFrame, key: str, vec: str, valid: str, position: str) -> DataFrame:

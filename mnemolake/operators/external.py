@@ -42,8 +42,10 @@ class HashEncoder:
 
 def hex_vector(text):
     """A 16-dimensional word-hash vector made of built-in functions only."""
-    digits = F.transform(words(text), lambda w: F.substring(F.md5(w), 1, 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(digits, lambda d: d == F.lower(F.hex(i)))).cast("double"))
+    digits = F.array_join(F.transform(words(text), lambda w: F.substring(F.md5(w), 1, 1)), "")
+    # Bound to a name by the outer transform, so that it is worked out once.
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.length(s) - F.length(F.replace(s, F.lower(F.hex(i)), F.lit("")))).cast("double"))
+    return F.transform(F.array(digits), counts)[0]
 
 
 def encode(rows: DataFrame, text: str, encoder: Encoder, name: str = "vec") -> DataFrame:

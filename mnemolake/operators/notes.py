@@ -14,7 +14,7 @@ from .rank import first_occurrence, ranked
 def points(notes: DataFrame) -> DataFrame:
     """``(memory_id, pos, point_type, point)``: facts, summary, keywords, content in
     this order; facts and keywords cut at semicolons, blanks left out."""
-    cut = lambda c, kind: F.transform(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != ""), lambda x: F.struct(F.lit(kind).alias("point_type"), x.alias("point")))
+    cut = lambda c, kind: F.transform(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.lit(kind).alias("point_type"), x.alias("point")))
     one = lambda c, kind: F.filter(F.array(F.struct(F.lit(kind).alias("point_type"), F.trim(c).alias("point"))), lambda s: s.point != "")
     every = F.concat(cut(F.col("facts"), "fact"), one(F.coalesce("summary", F.lit("")), "summary"), cut(F.col("keywords"), "keyword"), one(F.coalesce("content", F.lit("")), "content"))
     return notes.select("memory_id", F.posexplode(every).alias("pos", "p")).select("memory_id", "pos", "p.*")

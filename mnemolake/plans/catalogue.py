@@ -34,12 +34,16 @@ def r6(c):
 
 # Sources of the domain tables
 
-SOURCE = F.regexp_replace(F.lower(F.trim("source")), "-", "_")
+
+def source_name():
+    return F.regexp_replace(F.lower(F.trim("source")), "-", "_")
+
+
 APRIL = lambda t: t.content.contains("April")
 
 
 def documents(spark, d, source):
-    return table(spark, d, "documents").where(SOURCE == source)
+    return table(spark, d, "documents").where(source_name() == source)
 
 
 def sessions_of(spark, d):
