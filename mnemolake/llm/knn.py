@@ -31,6 +31,7 @@ from ..scratch import Scratch
 
 BITS = 16
 TABLES = 8
+RADIUS = 2 * TABLES - 1
 SAMPLE = 20_000
 ROWS = 4096
 ASKS, MEMBER = -1, -2
@@ -101,9 +102,10 @@ def _earlier(x0, x1, table: int) -> np.ndarray:
 
 def _probe(batches: Iterator[pa.RecordBatch], lead: int, shortlist: int) -> Iterator[pa.RecordBatch]:
     """Candidates (q, i, distance) met in one partition of the index."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     raw = {c: table.column(c).to_numpy() for c in table.column_names}
     group = (raw["slot"] << 20) | raw["part"]
     low = BITS - lead
@@ -155,11 +157,12 @@ def _probe(batches: Iterator[pa.RecordBatch], lead: int, shortlist: int) -> Iter
 
 def _crowds(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """The k best of each crowd for each vector that probes it."""
-    table = pa.Table.from_batches(list(batches)).combine_chunks()
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held).combine_chunks()
     group = (table.column("crowd").to_numpy() << 20) | table.column("part").to_numpy()
-    key, filed = table.column("key").to_numpy(), table.column("filed").to_numpy()
+    key, filed, asks = (table.column(c).to_numpy() for c in ("key", "filed", "asks"))
     unit = _unit(table.column("vec").combine_chunks(), dim)
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
@@ -168,8 +171,8 @@ def _crowds(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.
         here = rows[filed[rows]]
         if not len(here):
             continue
-        q_keys, first = np.unique(key[rows], return_index=True)
-        rows = rows[first]
+        rows = rows[asks[rows]]
+        rows = rows[np.unique(key[rows], return_index=True)[1]]
         for at in range(0, len(rows), 512):
             q = rows[at : at + 512]
             cos = unit[q] @ unit[here].T
@@ -192,6 +195,16 @@ def _top(df: DataFrame, by: str, k: int, *order) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _in_blocks(queries: DataFrame, unique: DataFrame, asked: int, total: int, dim: int, k: int) -> DataFrame:
+    """``(q, i, cos)``: the k best of all vectors for a stated set of queries, in
+    blocks of queries against parts of the vectors."""
+    blocks, parts = -(-asked // ROWS), -(-total // (4 * ROWS))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    index = unique.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("crowd"), F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("filed"), F.lit(False).alias("asks"), "vec")
+    ask = queries.select("key", block.alias("crowd"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("filed"), F.lit(True).alias("asks"), "vec")
+    return index.unionByName(ask).repartition("crowd", "part").mapInArrow(lambda b: _crowds(b, dim, k), "q long, i long, cos double")
+
+
 def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, shortlist: int = SHORTLIST) -> DataFrame:
     """``(id, neighbour, cos, rank)``: the k most similar others of each usable
     vector of a table ``(id, vec)``. Unusable and null vectors have none and are
@@ -219,20 +232,27 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, shortlist: int = SHOR
     asks = met.where("d < 0").groupBy("q", "i").agg((F.min("d") == MEMBER).alias("member")).withColumnsRenamed({"q": "key", "i": "crowd"})
     crowd_parts = asks.where("member").groupBy("crowd").agg(F.ceil(F.count("*") / (4 * ROWS)).cast("int").alias("parts"))
     asks = asks.join(crowd_parts, "crowd").join(unique, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = asks.select("key", "crowd", "part", (F.col("member") & (F.expr("pmod(key, parts)") == F.col("part"))).alias("filed"), "vec")
-    crowds = asks.repartition("crowd", "part").mapInArrow(lambda b: _crowds(b, dim, k + 1), "q long, i long, cos double")
+    asks = asks.select("key", "crowd", "part", (F.col("member") & (F.expr("pmod(key, parts)") == F.col("part"))).alias("filed"), F.lit(True).alias("asks"), "vec")
+    crowds = scratch.keep(asks.repartition("crowd", "part").mapInArrow(lambda b: _crowds(b, dim, k + 1), "q long, i long, cos double"), "crowds")
     met = met.where("d >= 0")
-    near = _top(met, "q", shortlist, "d", "i").select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y")).distinct()
+    listed = _top(met, "q", shortlist, "d", "i")
+    near = listed.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y")).distinct()
 
     left, right = unique.select(F.col("key").alias("x"), F.col("vec").alias("u")), unique.select(F.col("key").alias("y"), F.col("vec").alias("v"))
     scored = near.join(left, "x").join(right, "y").select("x", "y", "u", "v").mapInArrow(lambda b: _cosines(b, dim), "x long, y long, cos double")
     both = scored.select(F.explode(F.array(F.struct(F.col("x").alias("q"), F.col("y").alias("i")), F.struct(F.col("y").alias("q"), F.col("x").alias("i")))).alias("p"), "cos").select("p.q", "p.i", "cos")
     own = unique.select(F.col("key").alias("q"), F.col("key").alias("i"), F.lit(1.0).alias("cos"))
     # Of each class of equal vectors the k + 1 smallest ids can be neighbours.
-    both = both.union(crowds).groupBy("q", "i").agg(F.max("cos").alias("cos"))
+    both = scratch.keep(both.union(crowds).groupBy("q", "i").agg(F.max("cos").alias("cos")), "scored")
+    sure = listed.where(F.col("d") <= RADIUS).select("q", "i").union(crowds.select("q", "i")).distinct()
+    enough = sure.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("q").alias("key"))
+    starved = scratch.keep(unique.join(enough, "key", "left_anti"), "starved")
+    left_over = starved.count()
+    if left_over:
+        both = both.unionByName(_in_blocks(starved, unique, left_over, total, dim, k)).groupBy("q", "i").agg(F.max("cos").alias("cos"))
     firsts = _top(members.select("key", "id"), "key", k + 1, "id").select(F.col("key").alias("i"), F.col("id").alias("neighbour"))
-    listed = _top(both.union(own).join(firsts, "i"), "q", k + 1, F.desc("cos"), "neighbour").select(F.col("q").alias("key"), "neighbour", "cos")
-    each = members.select("key", "id").join(listed, "key").where("id <> neighbour")
+    best = _top(both.union(own).join(firsts, "i"), "q", k + 1, F.desc("cos"), "neighbour").select(F.col("q").alias("key"), "neighbour", "cos")
+    each = members.select("key", "id").join(best, "key").where("id <> neighbour")
     return _top(each, "id", k, F.desc("cos"), "neighbour").select("id", "neighbour", "cos", "rank")
 
 

@@ -173,9 +173,10 @@ def _open_groups(lo: int, hi: int, c, p: int, q: int, block: int = 512):
 
 def _candidates(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that may reach the similarity, from one partition of postings."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     raw = {k: table.column(k).to_numpy() for k in table.column_names}
     n = raw["shape"] >> 33
     order = np.lexsort((raw["m1"], n >> 2, raw["part"], raw["tok"]))
