@@ -11,7 +11,7 @@ double precision; ties go to the smaller id.
 Layout: a table is cut by the leading bits of its substring, as many as keep a
 cut near ``ROWS`` vectors. Probes that flip a trailing bit stay in the vector's
 own cut; only flips of leading bits send a row elsewhere. A cut that holds more
-is split, and queries visit every part. A pair met in several tables is emitted
+is split over the cells of a grid, vectors by queries. A pair met in several tables is emitted
 in the first only. Equal vectors are searched once.
 
 The rotations are fitted on at most ``SAMPLE`` vectors (smallest id hashes);
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .cells import in_cells
 
 BITS = 16
 TABLES = 8
@@ -107,10 +108,10 @@ def _probe(batches: Iterator[pa.RecordBatch], lead: int, shortlist: int) -> Iter
         return
     table = pa.Table.from_batches(held)
     raw = {c: table.column(c).to_numpy() for c in table.column_names}
-    group = (raw["slot"] << 20) | raw["part"]
     low = BITS - lead
-    order = np.lexsort((raw["want"], group))
-    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
+    order = np.lexsort((raw["want"], raw["cell"], raw["slot"]))
+    slot, cell = raw["slot"][order], raw["cell"][order]
+    cut = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (cell[1:] != cell[:-1]), True])
     out: list[tuple] = []
 
     def keep(q, i, d):
@@ -125,22 +126,24 @@ def _probe(batches: Iterator[pa.RecordBatch], lead: int, shortlist: int) -> Iter
     c0, c1 = raw["c0"].view(np.uint64), raw["c1"].view(np.uint64)
     for a, b in zip(cut[:-1], cut[1:]):
         rows = order[a:b]
-        t = int(raw["slot"][rows[0]] >> lead)
+        t = int((raw["slot"][rows[0]] & 0xFFFFFFFF) >> lead)
+        crowd_size = CROWD // int(raw["slot"][rows[0]] >> 32)
         here = rows[raw["filed"][rows]]
         if not len(here):
             continue
         subs = raw["want"][here]
-        home = raw["home"][rows]
+        asking = rows[raw["asks"][rows]]
+        home = raw["home"][asking]
         for flip in [None, *range(low)]:
-            ask = rows if flip is None else rows[home]
+            ask = asking if flip is None else asking[home]
             want = raw["want"][ask] ^ (0 if flip is None else 1 << flip)
             first, last = np.searchsorted(subs, want, "left"), np.searchsorted(subs, want, "right")
             size = last - first
             # Crowded substrings are told, to be searched on the float vectors.
-            many = size > CROWD
+            many = size > crowd_size
             if many.any():
                 crowd = (t << BITS) | want[many].astype(np.int64)
-                keep(raw["key"][ask[many]], crowd, np.where(raw["filed"][ask[many]] & raw["home"][ask[many]], MEMBER, ASKS) if flip is None else np.full(len(crowd), ASKS))
+                keep(raw["key"][ask[many]], crowd, np.where(raw["home"][ask[many]], MEMBER, ASKS) if flip is None else np.full(len(crowd), ASKS))
             few = (size > 0) & ~many
             q = np.repeat(ask[few], size[few])
             n = size[few]
@@ -161,11 +164,12 @@ def _crowds(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
-    group = (table.column("crowd").to_numpy() << 20) | table.column("part").to_numpy()
+    crowd, cell = table.column("crowd").to_numpy(), table.column("cell").to_numpy()
     key, filed, asks = (table.column(c).to_numpy() for c in ("key", "filed", "asks"))
     unit = _unit(table.column("vec").combine_chunks(), dim)
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
+    order = np.lexsort((cell, crowd))
+    crowd, cell = crowd[order], cell[order]
+    cut = np.flatnonzero(np.r_[True, (crowd[1:] != crowd[:-1]) | (cell[1:] != cell[:-1]), True])
     for a, b in zip(cut[:-1], cut[1:]):
         rows = order[a:b]
         here = rows[filed[rows]]
@@ -200,9 +204,9 @@ def _in_blocks(queries: DataFrame, unique: DataFrame, asked: int, total: int, di
     blocks of queries against parts of the vectors."""
     blocks, parts = -(-asked // ROWS), -(-total // (4 * ROWS))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    index = unique.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("crowd"), F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("filed"), F.lit(False).alias("asks"), "vec")
-    ask = queries.select("key", block.alias("crowd"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("filed"), F.lit(True).alias("asks"), "vec")
-    return index.unionByName(ask).repartition("crowd", "part").mapInArrow(lambda b: _crowds(b, dim, k), "q long, i long, cos double")
+    index = unique.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("crowd"), F.pmod("key", F.lit(parts)).cast("long").alias("cell"), F.lit(True).alias("filed"), F.lit(False).alias("asks"), "vec")
+    ask = queries.select("key", block.alias("crowd"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("cell"), F.lit(False).alias("filed"), F.lit(True).alias("asks"), "vec")
+    return index.unionByName(ask).repartition("crowd", "cell").mapInArrow(lambda b: _crowds(b, dim, k), "q long, i long, cos double")
 
 
 def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, shortlist: int = SHORTLIST) -> DataFrame:
@@ -224,16 +228,15 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, shortlist: int = SHOR
     rows = unique.mapInArrow(lambda b: _rows(b, model, dim, lead), "slot long, want int, home boolean, key long, c0 long, c1 long")
     sizes = unique.mapInArrow(lambda b: _rows(b, model, dim, lead), rows.schema).where("home").groupBy("slot").agg(F.count("*").alias("n"))
     parts = sizes.select("slot", F.ceil(F.col("n") / (4 * ROWS)).cast("int").alias("parts")).where("parts > 1")
-    rows = rows.join(parts, "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("filed", F.col("home") & (F.expr("pmod(key, parts)") == F.col("part"))).drop("parts")
-    met = rows.repartition("slot", "part").mapInArrow(lambda b: _probe(b, lead, shortlist), "q long, i long, d int")
+    rows = rows.join(parts, "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("filed", F.col("home"))
+    rows = rows.withColumn("slot", F.shiftleft(F.col("parts").cast("long"), 32) + F.col("slot"))
+    rows = in_cells(rows, "key", "parts", "filed")
+    met = rows.repartition("slot", "cell").mapInArrow(lambda b: _probe(b, lead, shortlist), "q long, i long, d int")
     met = scratch.keep(met, "met")
     asks = met.where("d < 0").groupBy("q", "i").agg((F.min("d") == MEMBER).alias("member")).withColumnsRenamed({"q": "key", "i": "crowd"})
     crowd_parts = asks.where("member").groupBy("crowd").agg(F.ceil(F.count("*") / (4 * ROWS)).cast("int").alias("parts"))
-    asks = asks.join(crowd_parts, "crowd").join(unique, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = asks.select("key", "crowd", "part", (F.col("member") & (F.expr("pmod(key, parts)") == F.col("part"))).alias("filed"), F.lit(True).alias("asks"), "vec")
-    crowds = scratch.keep(asks.repartition("crowd", "part").mapInArrow(lambda b: _crowds(b, dim, k + 1), "q long, i long, cos double"), "crowds")
+    asks = in_cells(asks.join(crowd_parts, "crowd").withColumnRenamed("member", "filed"), "key", "parts", "filed").join(unique, "key")
+    crowds = scratch.keep(asks.repartition("crowd", "cell").mapInArrow(lambda b: _crowds(b, dim, k + 1), "q long, i long, cos double"), "crowds")
     met = met.where("d >= 0")
     listed = _top(met, "q", shortlist, "d", "i")
     near = listed.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y")).distinct()

@@ -89,7 +89,7 @@ def _need(a, b, p: int, q: int):
     return -(-(p * (a + b)) // (p + q))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], frequent, p: int, q: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], frequent, p: int, q: int, per_task: int) -> Iterator[pa.RecordBatch]:
     """One row for each prefix word (and part of its postings) of each set."""
     names, counts = frequent.value
     for batch in batches:
@@ -110,19 +110,26 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent, p: int, q: int) -> It
         size = np.repeat(n, n)
         keep = pos < size + 1 + (-(p * size) // q)
         tok, row, pos, count = toks[order][keep], row[keep], pos[keep], count[order][keep]
-        # A frequent word's postings are split; the set itself lies in one part and visits all.
-        parts = np.maximum(1, -(-count // POSTINGS_PER_TASK))
-        many = np.repeat(np.arange(len(tok)), parts)
-        part = np.arange(len(many)) - np.repeat(np.cumsum(parts) - parts, parts)
+        # A frequent word's postings are split into parts, and so are its queries; a cell
+        # of the grid holds one part of each. A set is filed in one part, for the
+        # queries of all, and asks in one part, the filed of all.
         doc = batch.column("doc").to_numpy(zero_copy_only=False)[row]
-        home = (part == (doc % parts)[many]).astype(np.int64)
+        parts = np.maximum(1, -(-count // per_task))
+        rows = 2 * parts - 1
+        many = np.repeat(np.arange(len(tok)), rows)
+        i = np.arange(len(many)) - np.repeat(np.cumsum(rows) - rows, rows)
+        n_parts, own = parts[many], (doc % parts)[many]
+        asks = i < n_parts
+        other = i - n_parts + (i - n_parts >= own)
+        filed = ~asks | (i == own)
+        cell = np.where(asks, i << 32 | own, own << 32 | other)
         row, pos = row[many], pos[many]
         yield pa.record_batch(
             {
                 "tok": tok[many],
-                "part": part.astype(np.int32),
+                "cell": cell,
                 "doc": doc[many],
-                "shape": (n[row] << 33) | (pos << 1) | home,
+                "shape": (n[row] << 33) | (pos << 2) | (asks.astype(np.int64) << 1) | filed,
                 "m1": maps[row, 0].view(np.int64),
                 "m2": maps[row, 1].view(np.int64),
             }
@@ -156,8 +163,9 @@ def _open_groups(lo: int, hi: int, c, p: int, q: int, block: int = 512):
     least, most = np.minimum.reduceat(c["n"][members], starts), np.maximum.reduceat(c["n"][members], starts)
     first = np.minimum.reduceat(c["pos"][members], starts)
     n1, n2 = ~u1, ~u2
-    for at in range(lo, hi, block):
-        ask = np.arange(at, min(hi, at + block))
+    asking = np.arange(lo, hi)[c["asks"][lo:hi]]
+    for at in range(0, len(asking), block):
+        ask = asking[at : at + block]
         n = c["n"][ask][:, None]
         need = _need(least[None, :], n, p, q)
         fits = (most[None, :] * q >= n * p) & (least[None, :] <= n) & (1 + np.minimum(most - 1 - first, n - 1 - c["pos"][ask][:, None]) >= need)
@@ -179,18 +187,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[p
     table = pa.Table.from_batches(held)
     raw = {k: table.column(k).to_numpy() for k in table.column_names}
     n = raw["shape"] >> 33
-    order = np.lexsort((raw["m1"], n >> 2, raw["part"], raw["tok"]))
+    order = np.lexsort((raw["m1"], n >> 2, raw["cell"], raw["tok"]))
     c = {
         "n": n[order],
-        "pos": (raw["shape"][order] >> 1) & 0xFFFFFFFF,
+        "pos": (raw["shape"][order] >> 2) & 0x7FFFFFFF,
+        "asks": (raw["shape"][order] & 2) == 2,
         "doc": raw["doc"][order],
         "m1": raw["m1"][order].view(np.uint64),
         "m2": raw["m2"][order].view(np.uint64),
     }
     # Only words of the shorter prefix are filed; any prefix word is asked for.
     c["filed"] = (c["pos"] <= c["n"] - _need(c["n"], c["n"], p, q)) & ((raw["shape"][order] & 1) == 1)
-    key = (raw["tok"][order].astype(np.int64) << 32) | raw["part"][order]
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    tok, cell = raw["tok"][order], raw["cell"][order]
+    cut = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (cell[1:] != cell[:-1]), True])
     length = np.diff(cut)
     found = []
     for k in np.flatnonzero(length > 64):
@@ -205,7 +214,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[p
         square = m * m
         offset = np.arange(square.sum()) - np.repeat(np.cumsum(square) - square, square)
         j = np.repeat(cut[ids], square) + offset % np.repeat(m, square)
-        ok = c["filed"][i] & (i != j)
+        ok = c["filed"][i] & c["asks"][j] & (i != j)
         found.append(_may(i[ok], j[ok], c, p, q))
     if not found:
         return
@@ -247,13 +256,13 @@ class SimilarSets:
 
     def links(self) -> DataFrame:
         """``(a, b)``, a < b: representatives whose sets reach the similarity."""
-        p, q = self.p, self.q
+        p, q, per_task = self.p, self.q, POSTINGS_PER_TASK
         several = self.sets.groupBy("doc").agg(F.min("id").alias("rep"), F.count("id").alias("k")).where("k > 1").drop("k")
         marked = self.sets.join(several, "doc", "left")
         unique = marked.where("rep is null").select("doc", "toks").union(marked.where("rep = id").select("doc", "toks").dropDuplicates(["doc"]))
         frequent = self._frequent(self.sets)
-        postings = unique.mapInArrow(lambda b: _postings(b, frequent, p, q), "tok int, part int, doc long, shape long, m1 long, m2 long")
-        pairs = postings.repartition("tok", "part").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
+        postings = unique.mapInArrow(lambda b: _postings(b, frequent, p, q, per_task), "tok int, cell long, doc long, shape long, m1 long, m2 long")
+        pairs = postings.repartition("tok", "cell").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
         pairs = self.scratch.keep(pairs.distinct(), "pairs")
         named = pairs.join(self.first.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(self.first.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
         return self._checked(named)

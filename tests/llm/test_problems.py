@@ -184,6 +184,29 @@ def test_equal_vectors_and_few_vectors(spark):
     assert knn.nearest(df.limit(0)).count() == 0 and knn.nearest(df.limit(1)).count() == 0
 
 
+def test_grid_cells(spark):
+    from mnemolake.llm.cells import in_cells
+
+    df = spark.createDataFrame([(i, 3, i % 4 != 0) for i in range(20)], "key long, parts int, filed boolean")
+    cells = in_cells(df, "key", "parts", "filed").toPandas()
+    met = sorted((a, b) for _, c in cells.groupby("cell") for a in c.key[c.filed] for b in c.key[c.asks])
+    assert met == [(a, b) for a in range(20) for b in range(20) if a % 4]
+
+
+def test_split_cuts_and_crowds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.standard_normal((1, 64)) + 0.05 * rng.standard_normal((160, 64)), rng.standard_normal((60, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03d}", [float(t) for t in v]) for i, v in enumerate(x)], "id string, vec array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {tuple(sorted((f"v{i:03d}", f"v{j:03d}"))) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5]}
+    for size in (4096, 6):
+        monkeypatch.setattr(knn, "ROWS", size)
+        got = set(rows(knn.nearest_pairs(df)))
+        assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 # Problem 5
 
 
