@@ -85,6 +85,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": batch.column("id"), "words": pa.array(words, pa.list_(pa.string()))})
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the words, a batch at a time."""
+    for batch in batches:
+        tok, n = np.unique(batch.column("toks").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.record_batch({"tok": tok.astype(np.int32), "n": n.astype(np.int64)})
+
+
 def _need(a, b, p: int, q: int):
     return -(-(p * (a + b)) // (p + q))
 
@@ -138,10 +145,12 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent, p: int, q: int, per_t
 
 def _may(i, j, c, p: int, q: int):
     """Which pairs (smaller i, larger j) of arrays c can reach the similarity."""
-    need = _need(c["n"][i], c["n"][j], p, q)
-    ok = (c["n"][i] < c["n"][j]) | ((c["n"][i] == c["n"][j]) & (c["doc"][i] < c["doc"][j]))
-    ok &= c["n"][i] * q >= c["n"][j] * p
-    ok &= 1 + np.minimum(c["n"][i] - 1 - c["pos"][i], c["n"][j] - 1 - c["pos"][j]) >= need
+    a, b = c["n"][i], c["n"][j]
+    need = _need(a, b, p, q)
+    ok = np.minimum(a - c["pos"][i], b - c["pos"][j]) >= need
+    i, j, a, b, need = i[ok], j[ok], a[ok], b[ok], need[ok]
+    ok = (a < b) | ((a == b) & (c["doc"][i] < c["doc"][j]))
+    ok &= a * q >= b * p
     i, j, need = i[ok], j[ok], need[ok]
     a1, a2, b1, b2 = c["m1"][i], c["m2"][i], c["m1"][j], c["m2"][j]
     left = np.bitwise_count(a1 & ~b1).astype(np.int64) + np.bitwise_count(a2 & ~b2)
@@ -247,11 +256,12 @@ class SimilarSets:
     def classes(self) -> DataFrame:
         return self.sets.select("id", "doc").distinct().join(self.first, "doc").select("id", "rep")
 
-    def _frequent(self, unique: DataFrame):
-        total = unique.agg(F.sum(F.size("toks"))).first()[0] or 0
+    def _frequent(self):
+        counted = self.sets.select("toks").mapInArrow(_counts, "tok int, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+        counted = self.scratch.keep(counted, "counts")
+        total = counted.agg(F.sum("n")).first()[0] or 0
         floor = max(MIN_FLOOR, -(-total // MAX_FREQUENT))
-        counted = unique.select(F.explode("toks").alias("tok")).groupBy("tok").count().where(F.col("count") >= floor)
-        rows = sorted(tuple(r) for r in counted.collect())  # at most total / floor rows
+        rows = sorted(tuple(r) for r in counted.where(F.col("n") >= floor).collect())  # at most total / floor rows
         return self.spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64)))
 
     def links(self) -> DataFrame:
@@ -260,7 +270,7 @@ class SimilarSets:
         several = self.sets.groupBy("doc").agg(F.min("id").alias("rep"), F.count("id").alias("k")).where("k > 1").drop("k")
         marked = self.sets.join(several, "doc", "left")
         unique = marked.where("rep is null").select("doc", "toks").union(marked.where("rep = id").select("doc", "toks").dropDuplicates(["doc"]))
-        frequent = self._frequent(self.sets)
+        frequent = self._frequent()
         postings = unique.mapInArrow(lambda b: _postings(b, frequent, p, q, per_task), "tok int, cell long, doc long, shape long, m1 long, m2 long")
         pairs = postings.repartition("tok", "cell").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
         pairs = self.scratch.keep(pairs.distinct(), "pairs")
