@@ -251,7 +251,7 @@ class SimilarSets:
         self.scratch = Scratch(self.spark, "sets")
         kind = records.schema["id"].dataType.simpleString()
         self.sets = self.scratch.keep(records.select("id", "text").mapInArrow(_sets, f"id {kind}, doc long, toks array<int>"), "sets")
-        self.first = self.sets.groupBy("doc").agg(F.min("id").alias("rep"))
+        self.first = self.scratch.keep(self.sets.groupBy("doc").agg(F.min("id").alias("rep")), "first")
 
     def classes(self) -> DataFrame:
         return self.sets.select("id", "doc").distinct().join(self.first, "doc").select("id", "rep")
@@ -267,9 +267,7 @@ class SimilarSets:
     def links(self) -> DataFrame:
         """``(a, b)``, a < b: representatives whose sets reach the similarity."""
         p, q, per_task = self.p, self.q, POSTINGS_PER_TASK
-        several = self.sets.groupBy("doc").agg(F.min("id").alias("rep"), F.count("id").alias("k")).where("k > 1").drop("k")
-        marked = self.sets.join(several, "doc", "left")
-        unique = marked.where("rep is null").select("doc", "toks").union(marked.where("rep = id").select("doc", "toks").dropDuplicates(["doc"]))
+        unique = self.sets.select("doc", "toks").dropDuplicates(["doc"])
         frequent = self._frequent()
         postings = unique.mapInArrow(lambda b: _postings(b, frequent, p, q, per_task), "tok int, cell long, doc long, shape long, m1 long, m2 long")
         pairs = postings.repartition("tok", "cell").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
