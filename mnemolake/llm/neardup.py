@@ -51,7 +51,9 @@ def note_texts(notes: DataFrame) -> DataFrame:
 
 def words_of(text: str | None) -> set[str]:
     """The distinct lower-cased maximal runs of letters and digits."""
-    return {w.lower() for w in _WORD(text)} if text else set()
+    if not text:
+        return set()
+    return set(_WORD(text.lower())) if text.isascii() else {w.lower() for w in _WORD(text)}
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
