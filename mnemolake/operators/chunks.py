@@ -43,7 +43,12 @@ def split_by_separators(words: list[str], separators: set[str], size: int, overl
                 chunks.append(part)
     if overlap <= 0:
         return chunks
-    return [c if i == 0 else (chunks[i - 1][-overlap:] + c)[:size] for i, c in enumerate(chunks)]
+    out: list[list[str]] = []
+    for i, c in enumerate(chunks):
+        # The tail of what came out continues over chunks shorter than the overlap.
+        before = [] if i == 0 else (chunks[i - 1] if legacy else out[-1])[-overlap:]
+        out.append((before + c)[:size])
+    return out
 
 
 def separator_chunks(docs: DataFrame, key: str, text: str, separators: list[str], size: int, overlap: int, legacy: bool = False) -> DataFrame:

@@ -106,7 +106,7 @@ def test_window_chunks(spark):
 
 
 @given(st.lists(st.sampled_from(["a", "b", "c.", "d"]), max_size=40), st.integers(3, 9), st.integers(0, 2))
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 def test_separator_chunks_keep_all_tokens(words, size, overlap):
     got = chunks.split_by_separators(words, {"."}, size, overlap)
     assert all(len(c) <= size for c in got)
