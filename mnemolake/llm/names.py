@@ -10,9 +10,10 @@ longest common subsequence, 2 LCS / (length + length); nicknames and
 abbreviations count as equal but ambiguous.
 
 Spellings whose tokens agree are joined first. A group that is known only by a
-nickname or abbreviation then joins the one group of full names it fits; where
-relatives leave two, it stays by itself. Blocks are worked off in the executors
-and only links leave them.
+nickname, abbreviation or acronym then joins the one group of full names it fits;
+where relatives or namesakes leave two, it stays by itself. Acronyms are met by the
+initials of the words, with and without legal forms. Blocks are worked off in the
+executors and only links leave them.
 """
 
 from __future__ import annotations
@@ -102,20 +103,51 @@ _WORD = re.compile(r"[^\W_]+")
 _DROPPED = frozenset(f"{TITLES} {GENERATIONS} {LEGAL_FORMS}".split())
 _NICK = {(n, line.split(":")[0]) for line in NICKNAMES.strip().splitlines() for n in line.split(":")[1].split()}
 _NICK_FORMS = frozenset(n for n, _ in _NICK)
+_JOINING = frozenset("the of and".split())
 
 
-def core(name: str) -> list[str]:
-    """The sorted core tokens: lower case without accents, quotes, titles,
-    generations and legal forms; initials only where little else is left."""
+def _low(name: str) -> str:
+    """Lower case without accents and quotes."""
     low = name.lower().translate(_STROKES)
     if not low.isascii():
         low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
-    words = _WORD.findall(low.replace("'", "").replace("’", ""))
+    return low.replace("'", "").replace("’", "")
+
+
+def core(name: str) -> list[str]:
+    """The sorted core tokens: lower case without accents, quotes, titles,
+    generations and legal forms; initials only where little else is left, and
+    joined where nothing else is (an acronym with points)."""
+    words = _WORD.findall(_low(name))
     kept = [w for w in words if w not in _DROPPED] or words
     long = [w for w in kept if len(w) > 1]
+    if not long and len(kept) > 1:
+        return ["".join(kept)]
     return sorted(long if len(long) > 1 else kept)
 
 
+def initials(name: str) -> list[str]:
+    """The acronyms that a name of two or more words may have: of all words,
+    without joining words, and of the core alone. What stands before a comma is
+    taken to the end, unless only titles, generations or legal forms follow."""
+    head, _, tail = _low(name).partition(",")
+    first, last = _WORD.findall(head), _WORD.findall(tail)
+    words = first + last if all(w in _DROPPED for w in last) else last + first
+    if all(len(w) == 1 for w in words):
+        return []
+    kinds = (words, [w for w in words if w not in _JOINING], [w for w in words if w not in _DROPPED])
+    return sorted({"".join(w[0] for w in k) for k in kinds if len(k) > 1})
+
+
+def is_acronym(name: str) -> bool:
+    """Whether a name may be an acronym: one token of two or more letters, a
+    familiar given name only where it is written in single letters."""
+    tokens = core(name)
+    if len(tokens) != 1 or len(tokens[0]) < 2 or not tokens[0].isalpha():
+        return False
+    return tokens[0] not in _NICK_FORMS or tokens[0] not in _WORD.findall(_low(name))
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     where: dict[str, int] = {}
@@ -181,10 +213,12 @@ def agree(a: list[str], b: list[str]) -> str:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Core of each name."""
+    """Core and initials of each name, and whether it may be an acronym."""
     for batch in batches:
-        cores = [" ".join(core(n)) for n in batch.column("name").to_pylist()]
-        yield batch.append_column("core", pa.array(cores, pa.string()))
+        names = batch.column("name").to_pylist()
+        batch = batch.append_column("core", pa.array([" ".join(core(n)) for n in names], pa.string()))
+        batch = batch.append_column("initials", pa.array([initials(n) for n in names], pa.list_(pa.string())))
+        yield batch.append_column("acronym", pa.array([is_acronym(n) for n in names], pa.bool_()))
 
 
 def _blocks(cores: DataFrame) -> DataFrame:
@@ -249,7 +283,7 @@ def link_names(names: DataFrame) -> DataFrame:
     repeated count once; names without any letter or digit stand alone."""
     scratch = Scratch(names.sparkSession, "names")
     whole = names.where("scope is not null and name is not null").select("scope", "name").distinct().where(F.regexp_replace("name", r"[\s\p{Z}\"']+", "") != "")
-    named = scratch.keep(whole.mapInArrow(_spread, "scope string, name string, core string").where("core <> ''"), "named")
+    named = scratch.keep(whole.mapInArrow(_spread, "scope string, name string, core string, initials array<string>, acronym boolean").where("core <> ''"), "named")
     cores = named.select("scope", "core").distinct()
     blocks = _blocks(cores)
     links = blocks.repartition("scope", "block").sortWithinPartitions("scope", "block", "core").mapInArrow(_compare, "scope string, a string, b string, strong boolean")
@@ -265,6 +299,9 @@ def link_names(names: DataFrame) -> DataFrame:
     weak = grouped(grouped(weak, "a"), "b").where("a <> b").distinct()
     # The shorter side of each link is the one that may be ambiguous.
     sides = weak.select(F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("short"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("long")).distinct()
+    acronyms = named.where("acronym").select("scope", F.col("core").alias("a")).distinct()
+    meant = named.select("scope", F.explode("initials").alias("a"), F.col("core").alias("b")).distinct().join(acronyms, ["scope", "a"]).select(end("a").alias("a"), end("b").alias("b"))
+    sides = sides.union(grouped(grouped(meant, "a"), "b").where("a <> b").select("a", "b")).distinct()
     only = sides.join(sides.select(F.col("short").alias("long")).distinct(), "long", "left_anti").groupBy("short").agg(F.count("*").alias("k"), F.min("long").alias("long")).where("k = 1")
     joined = scratch.keep(strong.union(only.select("short", "long")), "joined")
     final = connected_groups(joined).select(F.col("id").alias("key"), "group_id")

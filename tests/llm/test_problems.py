@@ -146,6 +146,18 @@ def test_linked_names(spark):
     assert names.same_node_pairs(df.limit(0)).count() == 0
 
 
+def test_acronyms_join_the_one_name_they_fit(spark):
+    library = ["BESKIPSIN PUBLIC LIBRARY", "The Beskipsin Public Library", "Library, Beskipsin Public", "BPL", "B.P.L.", '"B. P. L."']
+    limited = ["PIFPEGSIN ENGINEERING LIMITED", "PEL", "P.E."]
+    data = [("g", n) for n in library + limited] + [("h", n) for n in ["KOVGETVIL RESEARCH INSTITUTE", "KADMULFOR RESEARCH INSTITUTE", "K.R.I.", "KRI", "SAM", "SIGFOD ALMIR MUSEUM"]] + [("k", "BPL")]
+    groups = {}
+    for r in names.link_names(spark.createDataFrame(data, "scope string, name string")).collect():
+        groups.setdefault((r.scope, r.group), set()).add(r.name)
+    got = [sorted(v) for v in groups.values()]
+    assert sorted(library) in got and sorted(limited) in got
+    assert ["K.R.I.", "KRI"] in got and ["SAM"] in got and len(groups) == 2 + 5 + 1  # KRI fits two
+
+
 def test_common_suffixes_are_refined(spark):
     roots = [a + b + c for a in ("bad", "fuk", "gel", "mip", "zor") for b in ("lan", "tev", "xus") for c in ("hom", "nir", "puq", "jes")]
     data = [("g", f"{r} FESTIVAL") for r in roots] + [("g", f"{roots[0][:-1]} FESTIVAL"), ("g", f"{roots[7][1:]} FESTIVAL")]
