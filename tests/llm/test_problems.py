@@ -392,6 +392,14 @@ def test_restoring(spark, corpus):
     assert mojibake.restore_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("real,shown", [("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp866", "cp1251")])
+def test_text_misread_into_cyrillic(spark, corpus, real, shown):
+    bad = {1000 + i: corpus[5 * i + 2][1].encode(real).decode(shown, "replace") for i in range(3)}
+    assert not any("�" in t for t in bad.values())
+    df = spark.createDataFrame([*corpus, *[(k, t, "ru") for k, t in bad.items()]], "doc_id long, text string, lang string")
+    assert rows(mojibake.restore_texts(df).select("doc_id", "text")) == [(1000 + i, corpus[5 * i + 2][1]) for i in range(3)]
+
+
 # Tokens and queries
 
 
