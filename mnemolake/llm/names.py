@@ -1,11 +1,10 @@
 """Variant spellings of names typed by people (problem 3).
 
 Suffix blocking. Names of a scope (a graph) are reduced to their core tokens;
-names with equal core are one key. Keys are filed under each suffix, of at least
-``SHORTEST`` letters, of each of their tokens. A suffix with more than ``BLOCK``
-keys is refined by another field, the first letters of the key's other tokens
-(two, then four); it is only left in its common form where that has separated
-it. Within a block pairs are compared token by token with the ratio of their
+names with equal core are one key. Keys are filed under the last ``SHORTEST`` letters
+of each of their tokens. A block with more than ``BLOCK`` keys is cut over the cells
+of a grid, so it is compared whole whatever its size; its pairs grow with the square
+of its keys. Within a cell pairs are compared token by token with the ratio of their
 longest common subsequence, 2 LCS / (length + length); nicknames and
 abbreviations count as equal but ambiguous.
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .cells import in_cells
 from .components import connected_groups
 
 SHORTEST = 4
@@ -222,37 +222,33 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(cores: DataFrame) -> DataFrame:
-    """``(scope, block, core)``, common suffixes refined."""
-    tokens = F.split("core", " ")
-    rows = cores.select("scope", "core", F.posexplode(tokens).alias("at", "token"), tokens.alias("tokens")).where(F.length("token") >= SHORTEST)
-    first = F.expr("element_at(array_sort(filter(tokens, (t, i) -> i <> at), (x, y) -> length(y) - length(x)), 1)")
-    rows = rows.withColumn("other", F.when(F.size("tokens") > 1, first).otherwise(F.lit("")))
-    rows = rows.select("scope", "core", "other", F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.length("token")), lambda n: F.call_function("right", F.col("token"), n))).alias("suffix")).distinct()
-
-    def sized(df, *key):
-        return df.join(df.groupBy(*key).agg(F.count("*").alias("size")), list(key))
-
-    one = sized(rows, "scope", "suffix")
-    done = one.where(F.col("size") <= BLOCK).select("scope", F.col("suffix").alias("block"), "core")
-    two = one.where(F.col("size") > BLOCK).drop("size")
-    two = sized(two.withColumn("block", F.concat_ws("|", "suffix", F.substring("other", 1, 2))), "scope", "block")
-    done = done.union(two.where(F.col("size") <= BLOCK).select("scope", "block", "core"))
-    three = two.where(F.col("size") > BLOCK).select("scope", F.concat_ws("|", "suffix", F.substring("other", 1, 4)).alias("block"), "core")
-    return done.union(three)
+    """``(scope, block, cell, core, filed, asks)``: keys by the last letters of each
+    token, crowded blocks over the cells of a grid."""
+    tokens = F.transform(F.split("core", " "), lambda t: F.when(F.length(t) >= SHORTEST, F.call_function("right", t, F.lit(SHORTEST))))
+    rows = cores.select("scope", "core", F.explode(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull()))).alias("block"))
+    sizes = rows.groupBy("scope", "block").agg(F.count("*").alias("size")).where("size > 1")
+    rows = rows.join(sizes, ["scope", "block"]).withColumn("parts", F.ceil(F.col("size") / BLOCK)).drop("size")
+    rows = rows.withColumn("key", F.xxhash64("core")).withColumn("filed", F.lit(True))
+    return in_cells(rows, "key", "parts", "filed").drop("key")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the blocks of one sorted partition."""
+    """Links within the cells of one sorted partition, between a filed and an asking key."""
     at, block, seen = None, [], set()
 
     def links():
         out = []
-        for i, (x, a) in enumerate(block):
-            for y, b in block[:i]:
-                pair = (at[0], min(x, y), max(x, y))
+        for x, a, filed, _ in block:
+            if not filed:
+                continue
+            for y, b, _, asks in block:
+                # Each pair meets twice, once with the smaller key filed.
+                if not asks or x >= y:
+                    continue
+                pair = (at[0], x, y)
                 if pair in seen:
                     continue
-                how = agree(a, b)
+                how = agree(b, a)
                 if how:
                     seen.add(pair)
                     out.append((*pair, how == "full"))
@@ -264,14 +260,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for scope, name, c in zip(batch.column("scope").to_pylist(), batch.column("block").to_pylist(), batch.column("core").to_pylist()):
-            if (scope, name) != at:
+        for scope, name, cell, c, filed, asks in zip(*(batch.column(x).to_pylist() for x in ("scope", "block", "cell", "core", "filed", "asks"))):
+            if (scope, name, cell) != at:
                 if len(block) > 1:
                     out += links()
-                at, block = (scope, name), []
+                at, block = (scope, name, cell), []
                 if len(seen) > 500_000:
                     seen.clear()
-            block.append((c, c.split(" ")))
+            block.append((c, c.split(" "), filed, asks))
         yield batch_of(out)
     if len(block) > 1:
         yield batch_of(links())
@@ -286,7 +282,7 @@ def link_names(names: DataFrame) -> DataFrame:
     named = scratch.keep(whole.mapInArrow(_spread, "scope string, name string, core string, initials array<string>, acronym boolean").where("core <> ''"), "named")
     cores = named.select("scope", "core").distinct()
     blocks = _blocks(cores)
-    links = blocks.repartition("scope", "block").sortWithinPartitions("scope", "block", "core").mapInArrow(_compare, "scope string, a string, b string, strong boolean")
+    links = blocks.repartition("scope", "block", "cell").sortWithinPartitions("scope", "block", "cell", "core").mapInArrow(_compare, "scope string, a string, b string, strong boolean")
     links = scratch.keep(links.distinct(), "links")
     end = lambda c: F.concat_ws("\t", "scope", c)
     strong = links.where("strong").select(end("a").alias("a"), end("b").alias("b"))

@@ -166,6 +166,15 @@ def test_common_suffixes_are_refined(spark):
     assert pairs == sorted(("g", *sorted((f"{a} FESTIVAL", f"{b} FESTIVAL"))) for a, b in ((roots[0], roots[0][:-1]), (roots[7], roots[7][1:])))
 
 
+def test_variants_meet_in_a_crowded_block(spark):
+    given = [a + b + c for a in ("bad", "fuk", "gel", "mip", "zor") for b in ("lan", "tev", "xus") for c in ("hom", "nir", "puq", "jes")]
+    variants = ["ROBERT SMITH", "R SMITH", "BOB SMITH", "RBOERT SMITH", "SMITH, ROBERT"]
+    data = [("g", f"{r} SMITH") for r in given] + [("g", v) for v in variants]
+    pairs = rows(names.same_node_pairs(spark.createDataFrame(data, "scope string, name string")))
+    assert len(data) > names.BLOCK
+    assert pairs == sorted(("g", a, b) for a in variants for b in variants if a < b)
+
+
 # Problem 4
 
 
