@@ -92,6 +92,13 @@ def test_terms_are_found_and_replaced(spark, notes):
     assert "works with [PERSON] on" in clean["m005"].content and "serial 0005-1234-5678" in clean["m005"].facts
 
 
+def test_family_name_of_a_hot_person(spark, notes):
+    hot = [(f"h{i:03d}", f"The user works with {'Robert' if i % 3 else 'Hugo'} Smithkel on the garden. Item {i}.", "") for i in range(90)]
+    hot += [("x1", "The user met Mrs Smithkel near the park.", ""), ("x2", "The user works with SMITHKEL, ROBERT on the garden.", "")]
+    found = pii.find(notes.union(spark.createDataFrame(hot, "memory_id string, content string, facts string"))).where("pii_type = 'person_name' and memory_id >= 'h' and memory_id not like 'm%'")
+    assert [r.memory_id for r in found.orderBy("memory_id").collect()] == [r[0] for r in hot]
+
+
 def test_no_notes(spark):
     empty = spark.createDataFrame([], "memory_id string, content string, facts string")
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
