@@ -2,11 +2,12 @@
 
 Suffix blocking. Names of a scope (a graph) are reduced to their core tokens;
 names with equal core are one key. Keys are filed under the last ``SHORTEST`` letters
-of each of their tokens. A block with more than ``BLOCK`` keys is cut over the cells
-of a grid, so it is compared whole whatever its size; its pairs grow with the square
-of its keys. Within a cell pairs are compared token by token with the ratio of their
-longest common subsequence, 2 LCS / (length + length); nicknames and
-abbreviations count as equal but ambiguous.
+of each of their tokens (shorter tokens whole), and, refined with the first letter of
+another token, under the endings with one letter left out. A block with more than
+``BLOCK`` keys is cut over the cells of a grid, so it is compared whole whatever its
+size; its pairs grow with the square of its keys. Within a cell pairs are compared
+token by token; the ratio of their longest common subsequence, 2 LCS / (length +
+length), decides. Nicknames and abbreviations count as equal but ambiguous.
 
 Spellings whose tokens agree are joined first. A group that is known only by a
 nickname, abbreviation or acronym then joins the one group of full names it fits;
@@ -21,7 +22,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,9 @@ from .components import connected_groups
 
 SHORTEST = 4
 BLOCK = 40
+# Least ratio of two tokens, of those up to four letters (one of which is a quarter),
+# and of all letters together where several tokens differ.
+RATIO, SHORT_RATIO, SEVERAL_RATIO = 0.8, 0.75, 0.85
 # Words that are no part of the core of a name.
 TITLES = "mr mrs ms miss mx dr prof professor sir madam rev hon"
 GENERATIONS = "jr sr junior senior phd md dds esq ii iii iv"
@@ -103,6 +109,11 @@ _WORD = re.compile(r"[^\W_]+")
 _DROPPED = frozenset(f"{TITLES} {GENERATIONS} {LEGAL_FORMS}".split())
 _NICK = {(n, line.split(":")[0]) for line in NICKNAMES.strip().splitlines() for n in line.split(":")[1].split()}
 _NICK_FORMS = frozenset(n for n, _ in _NICK)
+_GIVEN = frozenset(x for pair in _NICK for x in pair)
+_ROOTS: dict[str, set[str]] = {}
+for _n, _full in _NICK:
+    _ROOTS.setdefault(_n, set()).add(_full[0])
+_ORDER = {"same": 0, "typo": 1, "short": 2, "": 9}
 _JOINING = frozenset("the of and".split())
 
 
@@ -161,23 +172,23 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _token(a: str, b: str, organisation: bool) -> str:
-    """How two tokens agree: 'same', 'typo', 'short' or ''."""
+def _token(a: str, b: str, organisation: bool) -> tuple[str, int]:
+    """How two tokens agree ('same', 'typo', 'short' or '') and in how many letters."""
     if a == b:
-        return "same"
+        return "same", len(a)
     if len(a) > len(b):
         a, b = b, a
     if (a, b) in _NICK:
-        return "short"
-    if len(a) >= 4 and len(b) - len(a) <= 1:
+        return "short", 0
+    if len(a) >= 3 and 2 * len(a) >= SHORT_RATIO * (len(a) + len(b)):
         common = lcs(a, b)
-        if common >= len(b) - 1 and 2 * common >= 0.75 * (len(a) + len(b)):
-            return "typo"
+        if 2 * common >= (RATIO if len(b) > 4 else SHORT_RATIO) * (len(a) + len(b)):
+            return "typo", common
     if len(a) <= 4 and len(a) < len(b) and b.startswith(a):
-        return "short"
+        return "short", 0
     if organisation and 3 <= len(a) <= 5 and len(b) >= 6 and a[0] == b[0] and lcs(a, b) == len(a):
-        return "short"
-    return ""
+        return "short", 0
+    return "", 0
 
 
 def agree(a: list[str], b: list[str]) -> str:
@@ -189,21 +200,24 @@ def agree(a: list[str], b: list[str]) -> str:
         if len(b) != 1 or min(len(a[0]), len(b[0])) < 5:
             return ""
     organisation = len(b) > 2
-    left, typos, shorts, anchor = list(b), 0, 0, False
+    left, typos, shorts, anchor, common, letters = list(b), 0, 0, False, 0, 0
     for t in sorted(a, key=len, reverse=True):
-        best, rank = None, 9
+        best, rank, shared = None, 9, 0
         for u in left:
-            how = _token(t, u, organisation)
-            r = {"same": 0, "typo": 1, "short": 2}.get(how, 9)
-            if r < rank:
-                best, rank = u, r
+            how, n = _token(t, u, organisation)
+            r = _ORDER[how]
+            if r < rank or r == rank == 1 and n > shared:
+                best, rank, shared = u, r, n
         if best is None:
             return ""
         left.remove(best)
         typos += rank == 1
         shorts += rank == 2
-        anchor |= rank < 2 and len(t) >= 5
-    if typos > 1 or not anchor or shorts > 1 + organisation:
+        if rank < 2:
+            common += 2 * shared
+            letters += len(t) + len(best)
+        anchor |= rank == 0 and len(t) >= 2 or rank == 1 and len(t) >= 5
+    if not anchor or typos > 1 and common < SEVERAL_RATIO * letters or shorts > 1 + organisation:
         return ""
     if left and len(a) < 2 or len(left) > 1:
         return ""
@@ -212,6 +226,33 @@ def agree(a: list[str], b: list[str]) -> str:
     return "short" if shorts and not organisation else "full"
 
 
+def blocks(tokens: list[str]) -> list[str]:
+    """The blocks of a core: of each token its last ``SHORTEST`` letters (a shorter
+    token whole, single letters none), and its ending with any one letter left out,
+    so that a typo in the ending does not part two names. The latter are many, so
+    they are refined with the first letter of another token, or of the full name
+    that a familiar one stands for."""
+    out = set()
+    familiar = [t in _GIVEN for t in tokens]
+    for i, t in enumerate(tokens):
+        if len(t) < 2:
+            continue
+        out.add(t[-SHORTEST:])
+        # A known given name is met through the other token.
+        if len(t) < SHORTEST or familiar[i] and not all(familiar):
+            continue
+        others = [w for j, w in enumerate(tokens) if j != i]
+        heads = {w[0] for w in others}
+        if len(others) > 1:
+            heads = {min(heads)}
+        for w in others if len(others) == 1 else ():
+            heads |= _ROOTS.get(w, set())
+        tail = t[-SHORTEST - 1 :]
+        for k in range(len(tail)):
+            out |= {f"{tail[:k]}{tail[k + 1 :]}|{h}" for h in heads or [""]}
+    return sorted(out)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Core and initials of each name, and whether it may be an acronym."""
     for batch in batches:
@@ -221,13 +262,25 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("acronym", pa.array([is_acronym(n) for n in names], pa.bool_()))
 
 
-def _blocks(cores: DataFrame) -> DataFrame:
-    """``(scope, block, cell, core, filed, asks)``: keys by the last letters of each
-    token, crowded blocks over the cells of a grid."""
-    tokens = F.transform(F.split("core", " "), lambda t: F.when(F.length(t) >= SHORTEST, F.call_function("right", t, F.lit(SHORTEST))))
-    rows = cores.select("scope", "core", F.explode(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull()))).alias("block"))
-    sizes = rows.groupBy("scope", "block").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["scope", "block"]).withColumn("parts", F.ceil(F.col("size") / BLOCK)).drop("size")
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(slot, scope, core)``: a row for each block of a core; the slot is a hash of
+    scope and block, so only names of one scope may be compared in it."""
+    for batch in batches:
+        slots, rows = [], []
+        for i, (scope, c) in enumerate(zip(batch.column("scope").to_pylist(), batch.column("core").to_pylist())):
+            own = [xxhash.xxh64_intdigest(f"{scope}\t{b}") for b in blocks(c.split(" "))]
+            slots += own
+            rows += [i] * len(own)
+        at = pa.array(rows, pa.int64())
+        yield pa.record_batch({"slot": pa.array(np.array(slots, np.uint64).view(np.int64)), "scope": batch.column("scope").take(at), "core": batch.column("core").take(at)})
+
+
+def _blocks(cores: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(slot, cell, scope, core, filed, asks)``: keys by their blocks, crowded
+    blocks over the cells of a grid."""
+    rows = scratch.keep(cores.mapInArrow(_file, "slot long, scope string, core string"), "blocks")
+    sizes = rows.groupBy("slot").agg(F.count("*").alias("size")).where("size > 1")
+    rows = rows.join(sizes, "slot").withColumn("parts", F.ceil(F.col("size") / BLOCK)).drop("size")
     rows = rows.withColumn("key", F.xxhash64("core")).withColumn("filed", F.lit(True))
     return in_cells(rows, "key", "parts", "filed").drop("key")
 
@@ -245,12 +298,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Each pair meets twice, once with the smaller key filed.
                 if not asks or x >= y:
                     continue
-                pair = (at[0], x, y)
+                pair = (at[2], x, y)
                 if pair in seen:
                     continue
+                seen.add(pair)
                 how = agree(b, a)
                 if how:
-                    seen.add(pair)
                     out.append((*pair, how == "full"))
         return out
 
@@ -260,11 +313,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for scope, name, cell, c, filed, asks in zip(*(batch.column(x).to_pylist() for x in ("scope", "block", "cell", "core", "filed", "asks"))):
-            if (scope, name, cell) != at:
+        for slot, cell, scope, c, filed, asks in zip(*(batch.column(x).to_pylist() for x in ("slot", "cell", "scope", "core", "filed", "asks"))):
+            if (slot, cell, scope) != at:
                 if len(block) > 1:
                     out += links()
-                at, block = (scope, name, cell), []
+                at, block = (slot, cell, scope), []
                 if len(seen) > 500_000:
                     seen.clear()
             block.append((c, c.split(" "), filed, asks))
@@ -281,8 +334,8 @@ def link_names(names: DataFrame) -> DataFrame:
     whole = names.where("scope is not null and name is not null").select("scope", "name").distinct().where(F.regexp_replace("name", r"[\s\p{Z}\"']+", "") != "")
     named = scratch.keep(whole.mapInArrow(_spread, "scope string, name string, core string, initials array<string>, acronym boolean").where("core <> ''"), "named")
     cores = named.select("scope", "core").distinct()
-    blocks = _blocks(cores)
-    links = blocks.repartition("scope", "block", "cell").sortWithinPartitions("scope", "block", "cell", "core").mapInArrow(_compare, "scope string, a string, b string, strong boolean")
+    filed = _blocks(scratch.keep(cores, "cores"), scratch)
+    links = filed.repartition("slot", "cell").sortWithinPartitions("slot", "cell", "scope", "core").mapInArrow(_compare, "scope string, a string, b string, strong boolean")
     links = scratch.keep(links.distinct(), "links")
     end = lambda c: F.concat_ws("\t", "scope", c)
     strong = links.where("strong").select(end("a").alias("a"), end("b").alias("b"))

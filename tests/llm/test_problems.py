@@ -121,6 +121,13 @@ def test_no_notes(spark):
         ("TUDNADTIR INSURANCE ASSOCIATION", "TUDNADTIR INSURANCE", "full"),
         ("TUDNADTIR COMMUNITY CLINIC", "TUDNADTIR MUSIC ACADEMY", ""),
         ("BJÖRN FOGJELFUF", "BJORN FOGJELFUF.", "full"),
+        ("KENJI BESREBKEDUNFOG", "KENJI BESRBKEDUNFG", "full"),
+        ("KENJI BESREBKEDUNFOG", "KENJI TAGDOPDARGOB", ""),
+        ("ANA FAY", "ANNA FAY", "full"),
+        ("ANN LEE", "ANNE LEE", "full"),
+        ("BOB REED", "ROBERT REED", "short"),
+        ("K. RUIZ", "KATE RUIZ", "short"),
+        ("ANN LEE", "BOB LEE", ""),
     ],
 )
 def test_spellings(a, b, how):
@@ -182,6 +189,20 @@ def test_variants_meet_in_a_crowded_block(spark):
     assert pairs == sorted(("g", a, b) for a in variants for b in variants if a < b)
 
 
+def test_typos_in_endings_and_short_names_meet(spark):
+    nodes = [["D JELGOPAX", "DOROTHY JELGOBPAX", "DOT JELGOBPXA"], ["T BITHAFHIF", "TOBY BITHAFHAF"], ["ANA FAY", "ANNA FAY"], ["BOB LI", "ROBERT LI"], ["HAROLD FEMGOBSUT"], ["KENJI BESREBKEDUNFOG", "KENJI BESRBKEDUNFG"]]
+    df = spark.createDataFrame([("g", n) for node in nodes for n in node], "scope string, name string")
+    assert rows(names.same_node_pairs(df)) == sorted(("g", *sorted((a, b))) for node in nodes for a in node for b in node if a < b)
+
+
+@given(st.text("abcdefg", min_size=6, max_size=9), st.integers(0, 8), st.sampled_from("abcx"))
+@settings(max_examples=200, deadline=None)
+def test_one_typo_shares_a_block(word, at, letter):
+    at %= len(word)
+    for other in (word[:at] + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + letter + word[at + 1 :]):
+        assert set(names.blocks(["q", word])) & set(names.blocks(["quz", other]))
+
+
 # Problem 4
 
 
