@@ -242,7 +242,7 @@ def test_grid_cells(spark):
     assert met == [(a, b) for a in range(20) for b in range(20) if a % 4]
 
 
-def test_split_cuts_and_crowds(spark, monkeypatch):
+def test_split_cuts_and_crowds(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.standard_normal((1, 64)) + 0.05 * rng.standard_normal((160, 64)), rng.standard_normal((60, 64))]).astype(np.float32)
     df = spark.createDataFrame([(f"v{i:03d}", [float(t) for t in v]) for i, v in enumerate(x)], "id string, vec array<float>")
@@ -250,10 +250,19 @@ def test_split_cuts_and_crowds(spark, monkeypatch):
     s = u @ u.T
     np.fill_diagonal(s, -9)
     want = {tuple(sorted((f"v{i:03d}", f"v{j:03d}"))) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5]}
-    for size in (4096, 6):
-        monkeypatch.setattr(knn, "ROWS", size)
-        got = set(rows(knn.nearest_pairs(df)))
-        assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+    # The last sizes make the cluster, noise without any structure, a collection of its own.
+    for sizes, least in ((knn.Sizes(), 0.97), (knn.Sizes(rows=6), 0.97), (knn.Sizes(rows=6, crowd=8, floats=40, cell=16), 0.9)):
+        got = set(rows(knn.nearest_pairs(df, sizes=sizes)))
+        assert len(got & want) >= least * len(want) and len(got & want) >= least * len(got)
+
+
+@pytest.mark.parametrize("n", [1, 40, 4_000, 40_000, 4_000_000, 10**10])
+def test_layout_follows_the_number_of_vectors(n):
+    lay = knn.Layout(n, 64)
+    assert lay.tables >= knn.TABLES and lay.width * lay.a_word <= 64
+    assert 8 <= lay.width <= 32 and (lay.width in (8, 32) or 2 ** (lay.width - 1) < n <= 2**lay.width)
+    code = np.array([[2**64 - 1] * lay.words], np.uint64)
+    assert all(int(lay.sub(code, t)[0]) == 2**lay.width - 1 for t in range(lay.tables))
 
 
 # Problem 5
