@@ -99,6 +99,24 @@ def test_family_name_of_a_hot_person(spark, notes):
     assert [r.memory_id for r in found.orderBy("memory_id").collect()] == [r[0] for r in hot]
 
 
+def test_short_family_names_and_planted_terms(spark, notes):
+    """Planted terms: recall and precision of at least 0.95, whole corpora aside."""
+    case = [("k1", "The user works with Robert Li on the garden.", "Ines Wu"), ("k2", "The user asked HUGO LI about TV.", "Robert TV set")]
+    found = pii.find(notes.union(spark.createDataFrame(case, "memory_id string, content string, facts string"))).cache()
+    assert [r.term for r in found.where("memory_id like 'k%'").orderBy("memory_id", "note_field").collect()] == ["Robert Li", "Ines Wu", "HUGO LI"]
+    planted = {(r.memory_id, t, r[c].split(a)[1].split(b)[0]) for r in notes.collect() for t, c, a, b in (("person_name", "content", "works with ", " on the"), ("phone", "content", "number is ", " for calls"), ("id_number", "facts", "SSN is ", ";"))}
+    got = {(r.memory_id, r.pii_type, r.term) for r in found.where("memory_id like 'm%'").collect()}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.95 * len(got)
+
+
+def test_followers_of_streets_decide(spark, notes):
+    """No list of words tells a street from what is named after one."""
+    lives = [(f"s{i:02d}", f"The user now lives at {i + 3} Kedvux{'abc'[i % 3]} Road, Lokdale.", "") for i in range(30)]
+    races = [(f"r{i:02d}", f"The user ran the {i + 3} km Besreb{'abc'[i % 3]} Road Rally in June.", "") for i in range(30)]
+    found = pii.find(notes.union(spark.createDataFrame(lives + races, "memory_id string, content string, facts string"))).where("pii_type = 'address'")
+    assert sorted(r.memory_id for r in found.collect()) == [x[0] for x in lives]
+
+
 def test_no_notes(spark):
     empty = spark.createDataFrame([], "memory_id string, content string, facts string")
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
