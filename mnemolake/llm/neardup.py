@@ -18,7 +18,9 @@ hash), then words that occur in at least ``floor`` sets, by count. At most
 broadcast; ``floor`` rises with the corpus so that the bound stays 500,000.
 
 Sets that are equal are one class: only its representative is searched. Postings
-of a frequent word are split over several tasks, the queries visit each.
+of a word with more than ``POSTINGS_PER_TASK`` sets are split over the cells of a
+grid, which the queries visit: a posting of such a word is copied once for every so
+many, so the shuffle of one word grows with the square of its sets beyond that number.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ _WORD = re.compile(r"[^\W_]+").findall
 MAX_FREQUENT = 500_000
 MIN_FLOOR = 1000
 POSTINGS_PER_TASK = 8192
+POSTINGS_A_TASK = 500_000
 GROUP = 16
 
 
@@ -272,7 +275,9 @@ class SimilarSets:
         unique = self.sets.select("doc", "toks").dropDuplicates(["doc"])
         frequent = self._frequent()
         postings = unique.mapInArrow(lambda b: _postings(b, frequent, p, q, per_task), "tok int, cell long, doc long, shape long, m1 long, m2 long")
-        pairs = postings.repartition("tok", "cell").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
+        # About 20 postings a set; a task's partition is held in memory.
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-20 * self.first.count() // POSTINGS_A_TASK))
+        pairs = postings.repartition(tasks, "tok", "cell").mapInArrow(lambda b: _candidates(b, p, q), "x long, y long")
         pairs = self.scratch.keep(pairs.distinct(), "pairs")
         named = pairs.join(self.first.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(self.first.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
         return self._checked(named)

@@ -9,8 +9,8 @@ result are patterns with counts, so the work depends on the capacity, not on the
 number of items. Each length then has an ordered list of slots, and items find
 theirs by their rank within the length.
 
-Ranks are taken in buckets of a length with the buckets' offsets added, so that
-no length is ever sorted in one task. The slot table has at most 3 capacity
+Ranks are taken in buckets of a length with the buckets' offsets added, as many as
+keep a bucket near ``BUCKET_ROWS`` items, so that no length is ever sorted in one task. The slot table has at most 3 capacity
 patterns (a length starts two and splits one), which bounds the broadcast.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-BUCKETS = 64
+BUCKET_ROWS = 200_000
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -99,9 +99,11 @@ def pack(counted: DataFrame, capacity: int = 2048) -> DataFrame:
     capacity are cut. An empty table gives an empty one."""
     spark = counted.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.keep(pieces(counted, capacity).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))), "pieces")
+    cut = scratch.keep(pieces(counted, capacity), "pieces")
+    histogram = {r["tokens"]: r["n"] for r in cut.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    buckets = spark.createDataFrame([(n, -(-items // BUCKET_ROWS)) for n, items in histogram.items()], "tokens long, buckets long")
+    cut = cut.join(F.broadcast(buckets), "tokens").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.col("buckets"))).drop("buckets")
     sizes = cut.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
-    histogram = {r["tokens"]: r["n"] for r in sizes.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slots(pack_histogram(histogram, capacity)))
     before = F.sum("n").over(Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
