@@ -103,13 +103,31 @@ def joined_facts(c: Column) -> Column:
 
 def session_ids_in(c: Column) -> Column:
     """All session ids named in a text."""
-    return F.regexp_extract_all(c, F.lit(r"([0-9a-fA-F\-]{8,}_[sS]ession_?\d+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(r"([0-9a-fA-F\-]{8,}_[sS]ession\d+)"), F.lit(1))
 
 
-def csv_rows(rows: Column) -> Column:
-    """Text of an array of arrays: cells quoted unless numeric, ``,\\t`` between."""
-    cell = lambda x: F.when(is_float(x), x).otherwise(F.concat(F.lit('"'), F.regexp_replace(x, '"', ""), F.lit('"')))
-    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, cell), ",\t")), "\n")
+def csv_line(cells: list[tuple[Column, bool]]) -> Column:
+    """A line of cells (text, whether the value is a number) with ``,\t`` between: texts
+    trimmed, without quotes at their ends, in double quotes, null as an empty one."""
+
+    def cell(c: Column, number: bool) -> Column:
+        if number:
+            return F.coalesce(c, F.lit('""'))
+        bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "^'+|'+$", ""), '^"+|"+$', "")
+        return F.concat(F.lit('"'), bare, F.lit('"'))
+
+    return F.concat_ws(",\t", *[cell(*x) for x in cells])
+
+
+def word_count(c: Column) -> Column:
+    """Words between blanks: the tokens of budgets where no tokenizer is given."""
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(c), r"\s+")))
+
+
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words, with a blank between where anything is cut."""
+    words_ = F.split(F.trim(c), r"\s+")
+    return F.when(F.size(words_) > n, F.array_join(F.slice(words_, 1, n), " ")).otherwise(c)
 
 
 def fenced_json(c: Column) -> Column:
@@ -134,28 +152,73 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-_PAIR = re.compile(r"""["']?(\w+)["']?\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\]]*\]|\{[^{}]*\}|[^,}\n]+)""")
+# A key, quoted or not, and a colon.
+_KEY = re.compile(r"""["']?(\w+)["']?\s*:\s*""")
 
 
-def _value(raw: str):
+def _scalar(raw: str):
+    """null, true, false, a number, else the text without its quotes."""
     raw = raw.strip()
-    if raw in ("null", "true", "false"):
-        return {"null": None, "true": True, "false": False}[raw]
+    fixed = {"null": None, "true": True, "false": False}
+    if raw.lower() in fixed:
+        return fixed[raw.lower()]
     for kind in (int, float):
         try:
             return kind(raw)
         except ValueError:
             pass
-    if raw[:1] in "[{":
-        try:
-            return json.loads(raw)
-        except ValueError:
-            return raw
     return raw.strip("\"'")
 
 
+def _closing(text: str, at: int) -> int:
+    """The end of the value that begins at ``at``: a quoted text, a bracketed part or
+    whatever stands before a comma, brace or line end."""
+    first = text[at : at + 1]
+    if first in ("{", "["):
+        depth, quoted, i = 0, False, at
+        while i < len(text):
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted:
+                depth += (c in "{[") - (c in "}]")
+                if depth == 0:
+                    return i + 1
+            i += 1
+        return len(text)
+    if first == '"':
+        i = at + 1
+        while i < len(text) and text[i] != '"':
+            i += 2 if text[i] == "\\" else 1
+        return min(len(text), i + 1)
+    m = re.compile(r"[,}\n]").search(text, at)
+    return m.start() if m else len(text)
+
+
+def _pairs(text: str) -> dict:
+    """Key-value pairs found in a text, objects within it too."""
+    out, at = {}, 0
+    while m := _KEY.search(text, at):
+        start = m.end()
+        at = max(_closing(text, start), start + 1)
+        raw = text[start:at]
+        if raw[:1] == "{":
+            out[m.group(1)] = _pairs(raw[1:])
+        elif raw[:1] == "[":
+            try:
+                out[m.group(1)] = json.loads(raw)
+            except ValueError:
+                out[m.group(1)] = raw
+        else:
+            out[m.group(1)] = _scalar(raw)
+    return out
+
+
 def salvage(text: str | None) -> str | None:
-    """JSON of the first object; where it does not parse, of its key-value pairs."""
+    """JSON of the first object; where it does not parse, of all key-value pairs of
+    the text, nested ones as objects."""
     if text is None:
         return None
     found = first_json(text)
@@ -164,7 +227,7 @@ def salvage(text: str | None) -> str | None:
             return json.dumps(json.loads(found), sort_keys=True, ensure_ascii=False)
         except ValueError:
             pass
-    pairs = {m.group(1): _value(m.group(2)) for m in _PAIR.finditer(found or text)}
+    pairs = _pairs(text)
     return json.dumps(pairs, sort_keys=True, ensure_ascii=False) if pairs else None
 
 

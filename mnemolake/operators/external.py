@@ -63,10 +63,22 @@ def rule_llm(prompts: list[str]) -> list[str]:
     return ["; ".join(sorted(set(re.findall(r"[^\W\d_]{5,}", p.lower())), key=lambda w: (-len(w), w))[:3]) for p in prompts]
 
 
-def complete(rows: DataFrame, key: str, prompt: str, cache: DataFrame, function: Callable[[list[str]], list[str]] = rule_llm, partitions: int | None = None) -> DataFrame:
+def _alone(function: Callable[[list[str]], list[str]], prompt: str, attempts: int) -> tuple[str | None, str | None]:
+    """Response and error of one prompt."""
+    error = None
+    for _ in range(max(1, attempts)):
+        try:
+            return function([prompt])[0], None
+        except Exception as e:  # noqa: BLE001
+            error = str(e)[:200]
+    return None, error
+
+
+def complete(rows: DataFrame, key: str, prompt: str, cache: DataFrame, function: Callable[[list[str]], list[str]] = rule_llm, partitions: int | None = None, attempts: int = 1) -> DataFrame:
     """``(key, response, cached, error)`` of the distinct prompts: cached ones as
     stored in ``cache (key, response)``, the others by the function, at most
-    ``partitions`` calls at a time; a failure is an error column, not a text."""
+    ``partitions`` calls at a time. Where a batch fails its prompts are tried one by one,
+    ``attempts`` times each; a failure is an error column, not a text."""
     distinct = rows.select(key, prompt).dropDuplicates([key])
     stored = cache.select(key, "response").dropDuplicates([key])
     hits = distinct.join(stored, key).select(key, "response", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
@@ -76,10 +88,11 @@ def complete(rows: DataFrame, key: str, prompt: str, cache: DataFrame, function:
 
     @F.pandas_udf("response string, error string")
     def call(s: pd.Series) -> pd.DataFrame:
+        prompts = s.fillna("").tolist()
         try:
-            return pd.DataFrame({"response": function(s.fillna("").tolist()), "error": None}, index=s.index)
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame({"response": None, "error": str(e)[:200]}, index=s.index)
+            return pd.DataFrame({"response": function(prompts), "error": None}, index=s.index)
+        except Exception:  # noqa: BLE001
+            return pd.DataFrame([_alone(function, p, attempts) for p in prompts], columns=["response", "error"], index=s.index)
 
     made = todo.withColumn("r", call(F.col(prompt))).select(key, "r.response", F.lit(False).alias("cached"), "r.error")
     return hits.unionByName(made)

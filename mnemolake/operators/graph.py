@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import first_occurrence, ranked
+from .rank import first_occurrence, ranked, top_k
 
 SEP = "<SEP>"
 
@@ -169,16 +169,17 @@ def sections(parts: dict[str, DataFrame], order: list[str]) -> DataFrame:
 
 
 def support_points(reports: DataFrame, least_rating: float = 0.0, most: int = 512) -> DataFrame:
-    """Reports at or above the rating (null is 0): the first by occurrence, then
-    ordered by occurrence and rating."""
-    kept = reports.where(F.coalesce("rating", F.lit(0.0)) >= least_rating)
-    first = ranked(kept, ["graph_id"], F.desc("occurrence"), "report_id", name="pick").where(F.col("pick") <= most)
-    return ranked(first, ["graph_id"], F.desc("occurrence"), F.desc(F.coalesce("rating", F.lit(0.0))), "report_id")
+    """The first ``most`` reports of a graph by occurrence; of these, those at or above
+    the rating (null is 0), ordered by occurrence and rating."""
+    first = top_k(reports, ["graph_id"], most, F.desc("occurrence"), "report_id", name="pick")
+    kept = first.where(F.coalesce("rating", F.lit(0.0)) >= least_rating)
+    return ranked(kept, ["graph_id"], F.desc("occurrence"), F.desc(F.coalesce("rating", F.lit(0.0))), "report_id")
 
 
 def greedy_groups(rows: DataFrame, by: str, order: str, tokens: str, budget: int) -> DataFrame:
     """Consecutive groups whose tokens stay in the budget, each of one row at least
-    (so that a row beyond the budget is a group of its own)."""
+    (so that a row beyond the budget is a group of its own). A group of ``by`` is one
+    task, for lists cut to a bounded length before, as ``support_points`` does."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

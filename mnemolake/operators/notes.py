@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import first_occurrence, ranked
+from .rank import first_occurrence, ranked, spread
 
 
 def points(notes: DataFrame) -> DataFrame:
@@ -43,19 +45,45 @@ def as_of(questions: DataFrame, items: DataFrame, key: str, question_at: str, it
 
 def operation_index(ops: DataFrame, key: str, *order) -> DataFrame:
     """Position of each operation in its key's log, from 0."""
-    out = ranked(ops, [key], *order, name="_n")
-    return out.withColumn("op_index", F.col("_n") - 1).drop("_n")
+    out = spread(ops, [key], list(order))
+    return out.withColumn("op_index", F.col("position") - 1).drop("position")
 
 
-def overlap_decision(note: set, store: dict, update_at: float = 0.6, link_at: float = 0.3):
+class NoteStore:
+    """Word sets of notes with an index from words to notes, so that a new note is
+    compared only with those that share a word with it."""
+
+    def __init__(self, notes: dict[str, set] | None = None):
+        self.notes: dict[str, set] = {}
+        self.index: dict[str, set] = {}
+        for key, words in (notes or {}).items():
+            self.put(key, words)
+
+    def put(self, key: str, words: set) -> None:
+        """Add the words to a note."""
+        held = self.notes.setdefault(key, set())
+        for w in words - held:
+            self.index.setdefault(w, set()).add(key)
+        held |= words
+
+    def similar(self, words: set, least: float, most: int) -> list[tuple[float, str]]:
+        """The ``most`` notes at or above a word similarity, best first, ties to the smaller key."""
+        shared: Counter = Counter()
+        for w in words:
+            shared.update(self.index.get(w, ()))
+        found = [(n / (len(words) + len(self.notes[k]) - n), k) for k, n in shared.items()]
+        return heapq.nsmallest(most, (x for x in found if x[0] >= least), key=lambda x: (-x[0], x[1]))
+
+
+def overlap_decision(note: set, store: NoteStore, update_at: float = 0.6, link_at: float = 0.3):
     """The default decision: update the most similar note at or above one word
     similarity, create and link to those above another, pass on an empty note."""
     if not note:
         return "pass", None, []
-    like = sorted(((len(note & w) / len(note | w), k) for k, w in store.items()), key=lambda x: (-x[0], x[1]))[:5]
+    like = store.similar(note, link_at, 5)
     if like and like[0][0] >= update_at:
         return "update", like[0][1], []
-    return "create", None, [k for s, k in like if s >= link_at]
+    return "create", None, [k for _, k in like]
 
 
 def decision_fold(notes: DataFrame, key: str, order: str, decide: Callable = overlap_decision) -> DataFrame:
@@ -67,16 +95,14 @@ def decision_fold(notes: DataFrame, key: str, order: str, decide: Callable = ove
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "memory_id"])
-        store: dict[str, set] = {}
+        store = NoteStore()
         out = []
         for i, (mid, text) in enumerate(zip(pdf["memory_id"], pdf["text"])):
             words = set((text or "").lower().split())
             action, target, linked = decide(words, store)
-            if action == "create":
-                store[mid] = words
-            elif action == "update":
-                store[target] = store[target] | words
-            out.append((pdf[key].iloc[0], i, mid, action, target, linked, len(store)))
+            if action in ("create", "update"):
+                store.put(mid if action == "create" else target, words)
+            out.append((pdf[key].iloc[0], i, mid, action, target, linked, len(store.notes)))
         return pd.DataFrame(out, columns=[key, "op_index", "memory_id", "action", "target_id", "linked", "store_size"])
 
     return notes.select(key, order, "memory_id", "text").groupBy(key).applyInPandas(run, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import slice_context
+from ..functions.text import first_words
+from .rank import top_k
 
 # Our own short templates; ``type`` picks one, abstention questions have theirs.
 JUDGE_TEMPLATES = {
@@ -43,13 +44,13 @@ def context(items: DataFrame, k: int, original: bool = False, user_only: bool =
     if user_only:
         items = items.where("role = 'user'")
     body = {"none": F.col("text"), "merge": F.concat_ws("\n", "expansion", "text"), "replace": F.coalesce("expansion", "text")}[merge]
-    grouped = items.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("ts", F.lit("")).alias("ts"), body.alias("body")))).alias("all"))
-    kept = slice_context(F.col("all"), k, last=original)
-    by_time = F.array_sort(F.transform(kept, lambda x: F.struct(x.ts.alias("ts"), x["rank"].alias("rank"), x.body.alias("body"))))
-    part = F.transform(by_time, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x.ts, F.lit("\n"), x.body))
+    # The k items are picked before anything is gathered.
+    kept = top_k(items, ["question"], k, F.desc("rank") if original else F.asc("rank"), name="_pick")
+    grouped = kept.groupBy("question").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("ts", F.lit("")).alias("ts"), "rank", body.alias("body")))).alias("by_time"))
+    part = F.transform("by_time", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x.ts, F.lit("\n"), x.body))
     return grouped.select("question", F.array_join(part, "\n\n").alias("context"))
 
 
-def answer_prompt(question: Column, context_: Column, limit: int) -> Column:
-    """Context, cut to so many characters, then the question."""
-    return F.concat(F.lit("Context:\n"), F.substring(context_, 1, limit), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+def answer_prompt(question: Column, context_: Column, limit: int, cut=first_words) -> Column:
+    """Context, cut to so many tokens by ``cut(column, limit)``, then the question."""
+    return F.concat(F.lit("Context:\n"), cut(context_, limit), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))

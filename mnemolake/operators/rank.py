@@ -17,11 +17,43 @@ def top_k(df: DataFrame, by: list[str], k: int, *order, name: str = "rank") -> D
     return out if k < 0 else out.where(F.col(name) <= k)
 
 
+def spread(df: DataFrame, by: list[str], order: list, *sums: str) -> DataFrame:
+    """The rows with ``position`` (from 1) and running sums ``running_<column>`` within
+    groups, for groups that may hold most of the rows.
+
+    Rows are sorted in ranges, so that a large group lies in several tasks; the totals of
+    the ranges before are added to what is counted inside each. The order must be total."""
+    from ..scratch import Scratch
+
+    laid = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    laid = Scratch(df.sparkSession, "spread").keep(laid, "laid")
+    ranges = laid.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    # A row for each range of a group, however many rows it has.
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ranges = ranges.select(*by, "_part", "_first", total("_n").alias("_b"), *[total(f"_s{i}").alias(f"_b{i}") for i in range(len(sums))])
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    out = laid.alias("l").join(ranges.alias("r"), same & (F.col("l._part") == F.col("r._part"))).select("l.*", *[f"r.{c}" for c in ranges.columns if c not in (*by, "_part")])
+    out = out.withColumn("position", F.col("_at") - F.col("_first") + 1 + F.col("_b"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    for i, c in enumerate(sums):
+        out = out.withColumn(f"running_{c}", F.sum(c).over(inside) + F.col(f"_b{i}"))
+    return out.drop("_at", "_part", "_first", "_b", *[f"_b{i}" for i in range(len(sums))])
+
+
+def budget_prefix_spread(df: DataFrame, by: list[str], order: list, tokens: str, budget: int) -> DataFrame:
+    """``budget_prefix`` for groups that may hold most of the rows."""
+    rows = spread(df.withColumn("_cost", F.col(tokens) + 1), by, order, "_cost")
+    return rows.withColumnRenamed("running__cost", "running").drop("_cost", "position").where((F.col("running") <= budget) & F.lit(budget > 0))
+
+
 def budget_prefix(df: DataFrame, by: list[str], order: list, tokens: str, budget: Column | int) -> DataFrame:
     """The longest prefix whose running sum of tokens + 1 stays in the budget; a
-    budget of 0 or less keeps nothing."""
+    budget of 0 or less keeps nothing. For rankings of bounded length."""
     run = F.sum(F.col(tokens) + 1).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", run).where((F.col("running") <= budget) & (F.lit(budget) > 0))
+    return df.withColumn("running", run).where((F.col("running") <= budget) & ((budget if isinstance(budget, Column) else F.lit(budget)) > 0))
 
 
 def first_occurrence(df: DataFrame, by: list[str], *order) -> DataFrame:

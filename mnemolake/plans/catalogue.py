@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, community, corpus, dense, evaluation, external, graph, notes, prompts, rank, sessions, sparse
+from ..operators import chunks, community, context, corpus, dense, evaluation, external, graph, notes, prompts, rank, sessions, sparse
 from ..scratch import shared_dir
 from ..streaming import ingest
 
 QUERIES: dict = {}
+# Fixed value: the number of entities that a graph query starts from.
+TOP_K = 20
 
 
 def query(f):
@@ -163,8 +165,9 @@ def note_vector_text(spark, d):
 
 @query
 def report_csv(spark, d):
-    rows = entity_rows(spark, d).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.array("name", F.coalesce("type", F.lit("")), F.coalesce(F.format_string("%.3f", "importance"), F.lit(""))))).alias("rows"))
-    return rows.select("graph_id", T.csv_rows(F.col("rows")).alias("csv"))
+    line = T.csv_line([(F.col("name"), False), (F.col("type"), False), (F.col("entity_row_id").cast("string"), True)])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("entity_row_id", line.alias("line")))), lambda x: x.line)
+    return entity_rows(spark, d).dropDuplicates(["graph_id", "entity_row_id"]).groupBy("graph_id").agg(F.array_join(lines, "\n").alias("csv"))
 
 
 # Sparse retrieval and its metrics
@@ -357,7 +360,7 @@ def edge_degree_rank(spark, d):
 
 @query
 def one_hop_neighbours(spark, d):
-    return graph.one_hop(seeds_of(spark, d, 3), edges_of(spark, d), nodes_of(spark, d))
+    return graph.one_hop(seeds_of(spark, d, TOP_K), edges_of(spark, d), nodes_of(spark, d))
 
 
 @query
@@ -369,13 +372,16 @@ def entity_text_ids(spark, d):
 @query
 def incremental_edge_merge(spark, d):
     rows = relation_rows(spark, d)
-    first, rest = rows.where("rel_row_id % 2 = 0"), rows.where("rel_row_id % 2 <> 0")
-    merged = graph.merge_edges(chunks.upsert(first, rest, ["rel_row_id", "graph_id"]).unionByName(chunks.unseen(first, first, ["rel_row_id"])))
+    # Two deliveries that overlap in a third of the rows, then the second once more.
+    first, second = rows.where("rel_row_id % 3 < 2"), rows.where("rel_row_id % 3 > 0")
+    held = chunks.upsert(first, second, ["rel_row_id", "graph_id"])
+    held = held.unionByName(chunks.unseen(second, held, ["rel_row_id", "graph_id"]))
+    merged = graph.merge_edges(held)
     return merged.select("graph_id", "src", "tgt", r6("weight").alias("weight"))
 
 
 def _counts(spark, d):
-    return graph.relation_counts(seeds_of(spark, d, 5), nodes_of(spark, d), edges_of(spark, d))
+    return graph.relation_counts(seeds_of(spark, d, TOP_K), nodes_of(spark, d), edges_of(spark, d))
 
 
 @query
@@ -405,13 +411,13 @@ for _method in graph.RANKINGS:
 
 @query
 def related_edges(spark, d):
-    return graph.related_edges(seeds_of(spark, d, 5), edges_of(spark, d)).select("graph_id", "src", "tgt", F.col("rank").cast("long").alias("rank"), "edge_rank")
+    return graph.related_edges(seeds_of(spark, d, TOP_K), edges_of(spark, d)).select("graph_id", "src", "tgt", F.col("rank").cast("long").alias("rank"), "edge_rank")
 
 
 @query
 def context_sections_union(spark, d):
-    seeds = seeds_of(spark, d, 5).select("graph_id", F.col("entity_order").alias("rank"), F.col("name").alias("content"))
-    rels = graph.related_edges(seeds_of(spark, d, 5), edges_of(spark, d)).select("graph_id", "rank", F.concat_ws(" - ", "src", "tgt").alias("content"))
+    seeds = seeds_of(spark, d, TOP_K).select("graph_id", F.col("entity_order").alias("rank"), F.col("name").alias("content"))
+    rels = graph.related_edges(seeds_of(spark, d, TOP_K), edges_of(spark, d)).select("graph_id", "rank", F.concat_ws(" - ", "src", "tgt").alias("content"))
     units = graph.rank_chunks(graph.text_units(_counts(spark, d)), "entity_count").select("graph_id", "rank", F.col("chunk_id").alias("content"))
     out = graph.sections({"entity": seeds, "relation": rels, "chunk": units}, ["entity", "relation", "chunk"])
     return out.select("graph_id", "section", F.col("rank").cast("long").alias("rank"), "content")
@@ -428,8 +434,15 @@ def label_communities(spark, d):
 
 
 @query
-def louvain_clusters(spark, d):
-    return community.louvain(edges_of(spark, d))
+def cluster_hierarchy(spark, d):
+    return community.hierarchy(edges_of(spark, d))
+
+
+@query
+def cluster_invariants(spark, d):
+    """What holds of every hierarchy, whichever of several good ones was found."""
+    edges = edges_of(spark, d)
+    return community.invariants(community.hierarchy(edges), edges)
 
 
 def _typed(spark, d):
@@ -457,15 +470,147 @@ def global_support_points(spark, d):
     return graph.support_points(_reports(spark, d), 3.0).select("graph_id", "report_id", F.col("rank").cast("long").alias("rank"))
 
 
+def _report_groups(spark, d):
+    """The reports that the map step may see, in groups of a budget."""
+    text = documents(spark, d, "graph_report").select(F.col("doc_id").alias("report_id"), T.word_count(F.col("text")).cast("long").alias("tokens"))
+    rows = graph.support_points(_reports(spark, d), 3.0).join(text, "report_id").select("graph_id", "report_id", "rank", "tokens")
+    return graph.greedy_groups(rows, "graph_id", "rank", "tokens", 400)
+
+
 @query
 def report_groups(spark, d):
-    rows = documents(spark, d, "graph_report").where("user_uuid is not null").select(F.col("user_uuid").alias("graph_id"), F.col("doc_id").alias("report_id"), F.col("n_chars").alias("tokens"))
-    return graph.greedy_groups(rows, "graph_id", "report_id", "tokens", 4000)
+    return _report_groups(spark, d).select("graph_id", "report_id", F.col("rank").cast("long").alias("rank"), "tokens", "group")
+
+
+# Query contexts
+
+
+def _asked_vectors(spark, d):
+    return interests(spark, d).select(F.col("question").alias("graph_id"), external.hex_vector(F.col("interests")).alias("q"))
+
+
+def _entity_hits(spark, d):
+    items = nodes_of(spark, d).select("graph_id", "name", external.hex_vector(F.concat_ws(" ", "name", F.array_join("descriptions", " "))).alias("vec"))
+    return context.vector_hits(_asked_vectors(spark, d), items, ["name"], TOP_K)
+
+
+def _relation_hits(spark, d):
+    items = edges_of(spark, d).select("graph_id", "src", "tgt", external.hex_vector(F.concat_ws(" ", "src", "tgt", F.array_join("descriptions", " "))).alias("vec"))
+    return context.vector_hits(_asked_vectors(spark, d), items, ["src", "tgt"], TOP_K)
+
+
+def _clusters(spark, d):
+    """Communities of the test data: entity types (level 0) and source chunks (level 1)."""
+    types = _typed(spark, d).select("graph_id", "name", F.lit(0).alias("level"), "cluster")
+    return types.union(nodes_of(spark, d).select("graph_id", "name", F.lit(1), F.explode("source_ids")))
+
+
+def _cluster_reports(spark, d):
+    size = _clusters(spark, d).groupBy("graph_id", "cluster").agg(F.count("*").alias("n"))
+    return size.select("graph_id", "cluster", F.when(F.col("n") % 5 != 0, (F.col("n") % 10).cast("double")).alias("rating"), F.concat(F.lit("# "), F.col("cluster"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" members\n\n")).alias("report"))
+
+
+def _sections(spark, d, seeds, relations, order):
+    """Typed rows of the sections, from seeds ``(graph_id, name, hit)``."""
+    nodes, edges = nodes_of(spark, d), edges_of(spark, d)
+    entities = context.with_nodes(seeds, nodes, edges).where("description <> ''").select("graph_id", F.col("hit").alias("rank"), F.col("name").alias("content"))
+    reports = context.related_communities(seeds, _clusters(spark, d), _cluster_reports(spark, d)).select("graph_id", "rank", F.col("cluster").alias("content"))
+    units = graph.text_units(graph.relation_counts(seeds.withColumnRenamed("hit", "entity_order"), nodes, edges))
+    units = graph.rank_chunks(units, "entity_count").select("graph_id", "rank", F.col("chunk_id").alias("content"))
+    out = graph.sections({"entity": entities, "relation": relations, "chunk": units, "community": reports}, order)
+    return out.select("graph_id", "section", F.col("section_order").cast("long").alias("section_order"), F.col("rank").cast("long").alias("rank"), "content")
+
+
+@query
+def vector_entity_hits(spark, d):
+    return _entity_hits(spark, d).select("graph_id", "name", F.col("hit").cast("long").alias("hit"), r6("sim").alias("sim"))
+
+
+@query
+def related_communities(spark, d):
+    out = context.related_communities(_entity_hits(spark, d), _clusters(spark, d), _cluster_reports(spark, d))
+    return out.select("graph_id", "cluster", "hits", "rating", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def edges_in_budget(spark, d):
+    out = context.edges_in_budget(seeds_of(spark, d, TOP_K), edges_of(spark, d), 200)
+    return out.select("graph_id", "src", "tgt", F.col("rank").cast("long").alias("rank"), F.col("running").cast("long").alias("running"))
+
+
+@query
+def entity_context(spark, d):
+    """Entity-first: entity, relation, chunk and community sections of the entities hit."""
+    hits = _entity_hits(spark, d)
+    relations = context.edges_in_budget(hits, edges_of(spark, d)).select("graph_id", "rank", F.concat_ws(" - ", "src", "tgt").alias("content"))
+    return _sections(spark, d, hits, relations, ["entity", "relation", "chunk", "community"])
+
+
+@query
+def relation_context(spark, d):
+    """Relation-first: the relations hit, then the sections of their ends."""
+    hits = _relation_hits(spark, d)
+    relations = hits.select("graph_id", F.col("hit").alias("rank"), F.concat_ws(" - ", "src", "tgt").alias("content"))
+    return _sections(spark, d, context.seeds_of_relations(hits), relations, ["relation", "entity", "chunk", "community"])
+
+
+def _chunk_texts(spark, d):
+    return table(spark, d, "text_chunks").where("content is not null").groupBy("chunk_id").agg(F.min("content").alias("content"))
+
+
+@query
+def local_context(spark, d):
+    """The local query's context as text."""
+    hits, nodes, edges = _entity_hits(spark, d), nodes_of(spark, d), edges_of(spark, d)
+    entities = context.with_nodes(hits, nodes, edges).withColumnRenamed("hit", "rank")
+    relations = context.edges_in_budget(hits, edges).withColumn("weight", F.format_string("%.2f", "weight"))
+    reports = context.related_communities(hits, _clusters(spark, d), _cluster_reports(spark, d))
+    units = graph.rank_chunks(graph.text_units(graph.relation_counts(hits.withColumnRenamed("hit", "entity_order"), nodes, edges)), "entity_count")
+    sources = units.join(_chunk_texts(spark, d), "chunk_id").select("graph_id", "rank", T.first_words(F.col("content"), 20).alias("content"))
+    return context.local_context(entities, relations, reports, sources)
+
+
+@query
+def naive_context(spark, d):
+    rows = table(spark, d, "text_chunks").where("content is not null and user_uuid is not null").groupBy(F.col("user_uuid").alias("graph_id"), "chunk_id").agg(F.min("content").alias("content"))
+    hits = context.vector_hits(_asked_vectors(spark, d), rows.withColumn("vec", external.hex_vector(F.col("content"))), ["chunk_id"], TOP_K)
+    return context.naive_context(hits, "content", 2000)
+
+
+def _stated_points(spark, d):
+    """Points of the test data: a report's first line, scored by its id."""
+    text = documents(spark, d, "graph_report").select(F.col("doc_id").alias("report_id"), F.split("text", "\n")[0].alias("line"))
+    score = F.when(F.col("report_id") % 4 != 0, (F.col("report_id") % 7).cast("double"))
+    return lambda grouped: grouped.join(text, "report_id").select("graph_id", "group", F.col("report_id").alias("point"), F.when(F.col("line") != "", F.col("line")).alias("description"), score.alias("score"))
+
+
+@query
+def global_context(spark, d):
+    """The global query: reports in groups, points of each group, the best in a budget."""
+    return context.global_context(_report_groups(spark, d), _stated_points(spark, d), 60)
+
+
+@query
+def community_description(spark, d):
+    """What the report on a community (an entity type) is written from."""
+    out = context.describe_communities(_typed(spark, d), nodes_of(spark, d), edges_of(spark, d), 120)
+    return out.select("graph_id", "cluster", "kind", "item", "degree")
+
+
+@query
+def community_report_texts(spark, d):
+    def write(prompts_):
+        lines = F.split("prompt", "\n")
+        findings = F.transform(F.slice(lines, 1, 2), lambda x: F.struct(F.split(x, ",\t")[1].alias("summary"), F.split(x, ",\t")[0].alias("explanation")))
+        return prompts_.select("graph_id", "cluster", F.col("cluster").alias("title"), F.concat(F.size(lines).cast("string"), F.lit(" items")).alias("summary"), F.size(lines).cast("double").alias("rating"), findings.alias("findings"))
+
+    return context.community_reports(context.describe_communities(_typed(spark, d), nodes_of(spark, d), edges_of(spark, d), 120), write)
 
 
 # Judging
 
 
+
 @query
 def integrity_scores(spark, d):
     out = evaluation.integrity(judged(spark, d))
@@ -556,7 +701,7 @@ def keyed_chunks(spark, d):
 @query
 def token_budget_prefix(spark, d):
     rows = note_docs(spark, d).withColumn("n", F.size("tokens").cast("long"))
-    return rank.budget_prefix(rows, ["user_uuid"], ["memory_id"], "n", 300).select("user_uuid", "memory_id", "running")
+    return rank.budget_prefix_spread(rows, ["user_uuid"], ["memory_id"], "n", 300).select("user_uuid", "memory_id", "running")
 
 
 @query
@@ -639,7 +784,7 @@ def run_summary(spark, d):
 
 def _contexts(spark, d):
     rows = note_rows(spark, d, "noted_at", "summary", "keywords").where("user_uuid is not null and summary is not null")
-    items = rank.ranked(rows, ["user_uuid"], "memory_id").select(F.col("user_uuid").alias("question"), "rank", F.col("noted_at").alias("ts"), F.lit("user").alias("role"), F.col("summary").alias("text"), F.col("keywords").alias("expansion"))
+    items = rank.top_k(rows, ["user_uuid"], 5, "memory_id").select(F.col("user_uuid").alias("question"), "rank", F.col("noted_at").alias("ts"), F.lit("user").alias("role"), F.col("summary").alias("text"), F.col("keywords").alias("expansion"))
     return prompts.context(items, 5, merge="merge")
 
 
@@ -663,8 +808,8 @@ def llm_cache_join(spark, d):
 
 @query
 def answer_pipeline(spark, d):
-    asked = interests(spark, d).select("question", F.concat(F.lit("What does the user like?"), F.col("interests")).alias("text"))
-    rows = _contexts(spark, d).join(asked, "question").select(F.col("question").alias("key"), prompts.answer_prompt(F.col("text"), F.col("context"), 4000).alias("prompt"))
+    asked = interests(spark, d).select("question", F.concat(F.lit("What does the user like? "), F.col("interests")).alias("text"))
+    rows = _contexts(spark, d).join(asked, "question").select(F.col("question").alias("key"), prompts.answer_prompt(F.col("text"), F.col("context"), 60).alias("prompt"))
     empty = rows.select("key", F.lit("").alias("response")).where("false")
     return external.complete(rows, "key", "prompt", empty).withColumn("label", T.yes_label(F.col("response")))
 
@@ -677,8 +822,8 @@ def stream_action_counts(spark, d):
     """The stream run over all rows to its end; the complete result is a batch."""
     schema = table(spark, d, "memory_operations").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/memory_operations.[p]arquet")
-    name = "actions_" + uuid.uuid4().hex[:8]
+    target = f"{shared_dir(spark)}/actions_{uuid.uuid4().hex[:8]}"
     counts = ingest.action_counts(stream.where("ingested_at is not null"), "ingested_at", "op_action", "30 days")
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    run = counts.writeStream.outputMode("complete").foreachBatch(ingest.complete_table(f"{target}/table")).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "op_action", "n")
+    return spark.read.schema(counts.schema).parquet(f"{target}/table").select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "op_action", "n")

@@ -88,7 +88,7 @@ def _seeds(k: int) -> str:
 )"""
 
 
-COUNTS = f"""{ENT}, {REL}, {_seeds(5)}, cites as (select graph_id, name, unnest(source_ids) chunk_id from node),
+COUNTS = f"""{ENT}, {REL}, {_seeds(20)}, cites as (select graph_id, name, unnest(source_ids) chunk_id from node),
 near as (select distinct i.graph_id, i.name, i.neighbour from inc i join seed using (graph_id, name)),
 shared as (select n.graph_id, n.name, c.chunk_id, count(*) k from near n join cites c on c.graph_id = n.graph_id and c.name = n.neighbour group by 1, 2, 3),
 cnt as (select s.graph_id, s.name, c.chunk_id, s.entity_order, coalesce(k, 0) relation_count from seed s join cites c using (graph_id, name) left join shared using (graph_id, name, chunk_id)),
@@ -143,6 +143,86 @@ POINTS = """pt as (
     list_filter([{'point_type': 'content', 'point': trim(coalesce(content, ''))}], lambda s: s.point <> ''))) p from pt
 ), points as (select memory_id, user_uuid, i::bigint - 1 pos, p[i].point_type point_type, p[i].point point from arr, unnest(range(1, len(p) + 1)) t(i))"""
 
+
+def _words(c: str) -> str:
+    return f"case when trim(coalesce({c}, '')) = '' then 0 else len(regexp_split_to_array(trim({c}), '\\s+')) end"
+
+
+_CELL = r"""'"' || regexp_replace(regexp_replace(trim(coalesce({0}, '')), '^''+|''+$', '', 'g'), '^"+|"+$', '', 'g') || '"'"""
+_TAB = "',' || chr(9)"
+EDGE_RANK = """er as (
+  select e.graph_id, e.src, e.tgt, e.weight, array_to_string(e.descriptions, '<SEP>') description, a.degree + b.degree edge_rank
+  from edge e join deg a on a.graph_id = e.graph_id and a.name = e.src join deg b on b.graph_id = e.graph_id and b.name = e.tgt
+)"""
+Q_VEC = f"qv as (select question graph_id, {_hex('interests')} q from ask)"
+
+
+def _hits(items: str, keys: str) -> str:
+    """The 20 best of ``items (graph_id, keys, vec)``."""
+    return f"""(select graph_id, {keys}, sim, hit from (select *, row_number() over (partition by graph_id order by sim desc, {keys}) hit from (
+  select i.graph_id, {keys}, round({_cos('vec', 'q')}, 9) sim from {items} i join qv using (graph_id)) where sim >= 0.2) where hit <= 20)"""
+
+
+CLUSTERS = """cl as (select graph_id, name, 0 as level, type as cluster from major union all select graph_id, name, 1, unnest(source_ids) from node),
+rep as (select graph_id, cluster, case when count(*) % 5 <> 0 then (count(*) % 10)::double end rating, '# ' || cluster || chr(10) || chr(10) || count(*) || ' members' || chr(10) || chr(10) report from cl group by 1, 2)"""
+E_HITS = f"""{ENT}, {REL}, {ASK}, {Q_VEC}, ev as (select graph_id, name, {_hex("name || ' ' || coalesce(array_to_string(descriptions, ' '), '')")} vec from node),
+hits as {_hits('ev', 'name')}, {CLUSTERS}, {EDGE_RANK}"""
+R_HITS = f"""{ENT}, {REL}, {ASK}, {Q_VEC}, rv as (select graph_id, src, tgt, {_hex("src || ' ' || tgt || ' ' || coalesce(array_to_string(descriptions, ' '), '')")} vec from edge),
+rh as {_hits('rv', 'src, tgt')}, ends as (select graph_id, name, row_number() over (partition by graph_id order by min(a)) hit from (select graph_id, src as name, 2 * hit a from rh union all select graph_id, tgt, 2 * hit + 1 from rh) group by 1, 2),
+hits as (select * from ends), {CLUSTERS}, {EDGE_RANK}"""
+COMMUNITIES = """com as (select * from (
+  select graph_id, cluster, count(*) hits, any_value(r.rating) rating, any_value(r.report) report, row_number() over (partition by graph_id order by count(*) desc, coalesce(any_value(r.rating), -1) desc, cluster) as rank
+  from cl join hits using (graph_id, name) join rep r using (graph_id, cluster) where level <= 2 group by 1, 2) where rank <= 5)"""
+
+
+def _budget_edges(budget: int, seeds: str = "hits") -> str:
+    return f"""ke as (select distinct i.graph_id, least(i.name, i.neighbour) src, greatest(i.name, i.neighbour) tgt from inc i join {seeds} using (graph_id, name)),
+re as (select *, row_number() over (partition by graph_id order by edge_rank desc, round(weight, 6) desc, src, tgt) as rank from er join ke using (graph_id, src, tgt)),
+be as (select * from (select *, sum({_words('description')} + 1) over (partition by graph_id order by rank) running from re) where running <= {budget})"""
+
+
+UNITS_OF_HITS = """cites as (select graph_id, name, unnest(source_ids) chunk_id from node),
+near as (select distinct i.graph_id, i.name, i.neighbour from inc i join hits using (graph_id, name)),
+shared as (select n.graph_id, n.name, c.chunk_id, count(*) k from near n join cites c on c.graph_id = n.graph_id and c.name = n.neighbour group by 1, 2, 3),
+un as (select graph_id, chunk_id, row_number() over (partition by graph_id order by hit, k desc, chunk_id) as rank from (
+  select h.graph_id, h.name, c.chunk_id, h.hit, coalesce(k, 0) k, row_number() over (partition by h.graph_id, c.chunk_id order by h.hit, h.name) r
+  from hits h join cites c using (graph_id, name) left join shared using (graph_id, name, chunk_id)) where r = 1),
+ents as (select h.graph_id, h.hit, h.name, m.type, array_to_string(n.descriptions, '<SEP>') description, coalesce(degree, 0) degree from hits h join node n using (graph_id, name) left join major m using (graph_id, name) left join deg using (graph_id, name))"""
+REPORTS = f"""r as (select user_uuid graph_id, doc_id report_id, n_chars::double occurrence, case when doc_id % 5 <> 0 then (doc_id % 10)::double end rating, text from documents where {SOURCE} = 'graph_report' and user_uuid is not null),
+f as (select * from (select *, row_number() over (partition by graph_id order by occurrence desc, report_id) pick from r) where pick <= 512),
+sp as (select *, row_number() over (partition by graph_id order by occurrence desc, coalesce(rating, 0) desc, report_id) as rank from f where coalesce(rating, 0) >= 3)"""
+GROUPS = f"""{REPORTS}, t as (select graph_id, report_id, rank, {_words('text')}::bigint tokens from sp),
+g as (
+  select graph_id, report_id, rank, tokens, 0::bigint as "group", tokens used from t where rank = 1
+  union all select t.graph_id, t.report_id, t.rank, t.tokens, case when g.used + t.tokens > 400 then g."group" + 1 else g."group" end, case when g.used + t.tokens > 400 then t.tokens else g.used + t.tokens end
+  from g join t on t.graph_id = g.graph_id and t.rank = g.rank + 1
+)"""
+DESCRIBED = f"""{ENT}, {REL}, {EDGE_RANK}, mem as (select graph_id, type as cluster, name from major),
+dn as (select m.graph_id, cluster, 'entity' as kind, name as item, coalesce(array_to_string(n.descriptions, '<SEP>'), '') as content, coalesce(degree, 0) degree from mem m join node n using (graph_id, name) left join deg using (graph_id, name)),
+de as (select e.graph_id, a.cluster, 'relation', src || ' - ' || tgt, coalesce(description, ''), edge_rank from er e join mem a on a.graph_id = e.graph_id and a.name = src join mem b on b.graph_id = e.graph_id and b.name = tgt and a.cluster = b.cluster where src <> tgt),
+da as (select *, count(*) over (partition by graph_id, cluster) total, count(*) over (partition by graph_id, cluster, kind) own from (select * from dn union all select * from de)),
+dr as (select *, sum({_words("item || ' ' || content")} + 1) over (partition by graph_id, cluster, kind order by degree desc, item) running, floor(120 * own / total) share from da),
+described as (select graph_id, cluster, kind, item, content, degree from dr where running <= share)"""
+
+
+def _section(title: str, header: str, rows: str) -> str:
+    quoted = (" || " + _TAB + " || ").join(f"'\"{h}\"'" for h in header.split())
+    return f"'-----{title}-----' || chr(10) || '```csv' || chr(10) || {quoted} || coalesce(chr(10) || ({rows}), '') || chr(10) || '```'"
+
+
+def _lines(cells: list[str], order: str, source: str) -> str:
+    line = (" || " + _TAB + " || ").join([f"({order} - 1)::varchar", *cells])
+    return f"select string_agg({line}, chr(10) order by {order}) from {source} x where x.graph_id = u.graph_id"
+
+
+LOCAL = (
+    f"with {E_HITS}, {COMMUNITIES}, {_budget_edges(4800)}, {UNITS_OF_HITS}, src as (select graph_id, rank, case when len(regexp_split_to_array(trim(content), '\\s+')) > 20 then array_to_string(regexp_split_to_array(trim(content), '\\s+')[1:20], ' ') else content end as content from un join (select chunk_id, min(content) as content from text_chunks where content is not null group by 1) using (chunk_id))"
+    f" select u.graph_id, {_section('Reports', 'id content', _lines([_CELL.format('report')], 'rank', 'com'))} || chr(10)"
+    f" || {_section('Entities', 'id entity type description rank', _lines([_CELL.format('name'), _CELL.format('type'), _CELL.format('description'), 'degree::varchar'], 'hit', 'ents'))} || chr(10)"
+    f" || {_section('Relationships', 'id source target description weight rank', _lines([_CELL.format('src'), _CELL.format('tgt'), _CELL.format('description'), "printf('%.2f', weight)", 'edge_rank::varchar'], 'rank', 'be'))} || chr(10)"
+    f" || {_section('Sources', 'id content', _lines([_CELL.format('content')], 'rank', 'src'))} as context from (select distinct graph_id from ents) u"
+)
+
 ORACLE: dict[str, str] = {
     "session_user_text": f"with {SESS} select doc_id, coalesce(array_to_string(u, ' '), '') flat_text, coalesce(array_to_string(list_transform(u, lambda x: x || chr(10)), ''), '') graph_text from us",
     "session_dialogue_render": rf"""with s as (
@@ -207,11 +287,11 @@ ORACLE: dict[str, str] = {
   from e where not exists (select 1 from node n where n.graph_id = e.graph_id and n.name = e.name) group by 1, 2""",
     "node_degree": f"with {REL} select graph_id, name, degree from deg",
     "edge_degree_rank": f"with {REL} select e.graph_id, e.src, e.tgt, a.degree + b.degree as rank from edge e join deg a on a.graph_id = e.graph_id and a.name = e.src join deg b on b.graph_id = e.graph_id and b.name = e.tgt",
-    "one_hop_neighbours": f"with {ENT}, {REL}, {_seeds(3)} select distinct i.graph_id, i.name, i.neighbour, m.type neighbour_type from inc i join seed using (graph_id, name) left join major m on m.graph_id = i.graph_id and m.name = i.neighbour",
+    "one_hop_neighbours": f"with {ENT}, {REL}, {_seeds(20)} select distinct i.graph_id, i.name, i.neighbour, m.type neighbour_type from inc i join seed using (graph_id, name) left join major m on m.graph_id = i.graph_id and m.name = i.neighbour",
     "entity_text_ids": f"with {ENT} select graph_id, name, 'ent-' || md5(name) entity_id, name || coalesce(array_to_string(descriptions, '<SEP>'), '') as text from node",
     "relation_counts_per_chunk": f"with {COUNTS} select graph_id, name, chunk_id, entity_order, relation_count from cnt",
     **{f"chunk_rank_{k}": f"with {UNITS} select graph_id, chunk_id, row_number() over (partition by graph_id order by {o}, entity_order, chunk_id) as rank from sim" for k, o in RANK_ORDER.items()},
-    "related_edges": f"""with {ENT}, {REL}, {_seeds(5)}, k as (select distinct i.graph_id, least(i.name, neighbour) src, greatest(i.name, neighbour) tgt from inc i join seed using (graph_id, name)),
+    "related_edges": f"""with {ENT}, {REL}, {_seeds(20)}, k as (select distinct i.graph_id, least(i.name, neighbour) src, greatest(i.name, neighbour) tgt from inc i join seed using (graph_id, name)),
   r as (select e.graph_id, e.src, e.tgt, e.weight, a.degree + b.degree edge_rank from edge e join k using (graph_id, src, tgt) join deg a on a.graph_id = e.graph_id and a.name = e.src join deg b on b.graph_id = e.graph_id and b.name = e.tgt)
   select graph_id, src, tgt, row_number() over (partition by graph_id order by edge_rank desc, round(weight, 6) desc, src, tgt) as rank, edge_rank from r""",
     "context_sections_union": f"""with {COUNTS}, k as (select distinct i.graph_id, least(i.name, neighbour) src, greatest(i.name, neighbour) tgt from inc i join seed using (graph_id, name)),
@@ -222,6 +302,10 @@ ORACLE: dict[str, str] = {
     "connected_components": f"""with recursive {REL}, reach as (
     select graph_id, name, neighbour from inc union select graph_id, name, name from inc union select r.graph_id, r.name, i.neighbour from reach r join inc i on i.graph_id = r.graph_id and i.name = r.neighbour
   ) select graph_id, name, min(neighbour) component from reach group by 1, 2""",
+    "cluster_invariants": f"""with recursive {REL}, reach as (
+    select graph_id, name, neighbour from inc union select graph_id, name, name from inc union select r.graph_id, r.name, i.neighbour from reach r join inc i on i.graph_id = r.graph_id and i.name = r.neighbour
+  ), c as (select graph_id, name, min(neighbour) component from reach group by 1, 2), n as (select graph_id, component, count(*) n from c group by 1, 2)
+  select graph_id, max(n) n_nodes, true as once, true as nested, true as positive from n group by 1""",
     "community_schema_occurrence": f"""with {ENT}, {REL}, mem as (select graph_id, type as cluster, name, source_ids from node join major using (graph_id, name)),
   s as (select graph_id, cluster, count(distinct name) n_nodes from mem group by 1, 2),
   e as (select graph_id, cluster, count(*) n_edges from (select distinct graph_id, cluster, least(name, neighbour), greatest(name, neighbour) from mem join inc using (graph_id, name)) group by 1, 2),
@@ -231,8 +315,31 @@ ORACLE: dict[str, str] = {
     "sub_community_containment": f"""with {ENT}, ch as (select distinct graph_id, unnest(source_ids) child, name from node), pa as (select graph_id, type parent, name from major),
   sz as (select graph_id, child, count(*) n from ch group by 1, 2)
   select c.graph_id, c.child, parent from ch c join pa using (graph_id, name) join sz on sz.graph_id = c.graph_id and sz.child = c.child group by 1, 2, 3, n having count(*) = n""",
-    "global_support_points": f"""with r as (select user_uuid graph_id, doc_id report_id, n_chars::double occurrence, case when doc_id % 5 <> 0 then (doc_id % 10)::double end rating from documents where {SOURCE} = 'graph_report' and user_uuid is not null)
-  select graph_id, report_id, row_number() over (partition by graph_id order by occurrence desc, coalesce(rating, 0) desc, report_id) as rank from r where coalesce(rating, 0) >= 3""",
+    "global_support_points": f"with {REPORTS} select graph_id, report_id, rank from sp",
+    "report_groups": f'with recursive {GROUPS} select graph_id, report_id, rank, tokens, "group" from g',
+    "report_csv": f"""with {ENT}, o as (select *, row_number() over (partition by graph_id, entity_row_id order by name) r from ent)
+  select graph_id, string_agg({_CELL.format('name')} || {_TAB} || {_CELL.format('type')} || {_TAB} || entity_row_id, chr(10) order by entity_row_id) csv from o where r = 1 group by 1""",
+    "vector_entity_hits": f"with {E_HITS} select graph_id, name, hit, round(sim, 6) sim from hits",
+    "related_communities": f"with {E_HITS}, {COMMUNITIES} select graph_id, cluster, hits, rating, rank from com",
+    "edges_in_budget": f"with {ENT}, {REL}, {_seeds(20)}, {EDGE_RANK}, {_budget_edges(200, 'seed')} select graph_id, src, tgt, rank, running::bigint running from be",
+    "entity_context": f"""with {E_HITS}, {COMMUNITIES}, {_budget_edges(4800)}, {UNITS_OF_HITS}
+  select graph_id, 'entity' as section, 0::bigint section_order, hit as rank, name as content from ents where description <> ''
+  union all select graph_id, 'relation', 1, rank, src || ' - ' || tgt from be union all select graph_id, 'chunk', 2, rank, chunk_id from un union all select graph_id, 'community', 3, rank, cluster from com""",
+    "relation_context": f"""with {R_HITS}, {COMMUNITIES}, {UNITS_OF_HITS}
+  select graph_id, 'relation' as section, 0::bigint section_order, hit as rank, src || ' - ' || tgt as content from rh
+  union all select graph_id, 'entity', 1, hit, name from ents where description <> '' union all select graph_id, 'chunk', 2, rank, chunk_id from un union all select graph_id, 'community', 3, rank, cluster from com""",
+    "local_context": LOCAL,
+    "naive_context": f"""with {ASK}, {Q_VEC}, tx as (select user_uuid graph_id, chunk_id, min(content) as content from text_chunks where content is not null and user_uuid is not null group by 1, 2),
+  cv as (select graph_id, chunk_id, content, {_hex('content')} vec from tx), h as {_hits('cv', 'chunk_id')},
+  b as (select h.*, content, sum({_words('content')} + 1) over (partition by h.graph_id order by hit) running from h join tx using (graph_id, chunk_id))
+  select graph_id, count(*) n_chunks, string_agg(content, '--New Chunk--' || chr(10) order by hit) context from b where running <= 2000 group by 1""",
+    "global_context": f"""with recursive {GROUPS}, p as (select g.graph_id, "group", report_id, string_split(text, chr(10))[1] description, coalesce(case when report_id % 4 <> 0 then (report_id % 7)::double end, 1) score from g join r using (graph_id, report_id)),
+  o as (select *, row_number() over (partition by graph_id order by score desc, "group", report_id) as rank from p where description <> '' and score > 0),
+  b as (select *, sum({_words('description')} + 1) over (partition by graph_id order by rank) running from o)
+  select graph_id, count(*) n_points, string_agg('----Analyst ' || "group" || '----' || chr(10) || 'Importance Score: ' || printf('%.1f', score) || chr(10) || description || chr(10), chr(10) order by rank) context from b where running <= 60 group by 1""",
+    "community_description": f"with {DESCRIBED} select graph_id, cluster, kind, item, degree from described",
+    "community_report_texts": f"""with {DESCRIBED}, l as (select graph_id, cluster, {_CELL.format('kind')} k, {_CELL.format('item')} i, row_number() over (partition by graph_id, cluster order by kind, degree desc, item) n, count(*) over (partition by graph_id, cluster) c from described)
+  select graph_id, cluster, max(c)::double rating, '# ' || cluster || chr(10) || chr(10) || max(c) || ' items' || chr(10) || chr(10) || string_agg('## ' || i || chr(10) || chr(10) || k, chr(10) || chr(10) order by n) filter (where n <= 2) report from l group by 1, 2""",
     "integrity_scores": f"""with {JUDGED}, o as (select * from j where not interference) select (select count(*) from o) total, (select count(score) from o) as valid,
   (select {_div('count(*) filter (where score = 2)', 'count(*)')} from o) recall_all, (select {_div('count(*) filter (where score = 2)', 'count(score)')} from o) recall_valid,
   (select {_div('sum(importance * 0.5 * score)', 'sum(importance)')} from o) weighted_all, (select {_div('sum(importance * 0.5 * score)', 'sum(importance) filter (where score is not null)')} from o) weighted_valid,

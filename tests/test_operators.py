@@ -172,13 +172,50 @@ def test_components_and_communities(spark):
     assert community.largest_component(e).where("graph_id = 'g'").count() == 21
     two = [("g", a, b, 1.0, 1, "", "") for group in ("abcd", "efgh") for i, a in enumerate(group) for b in group[i + 1 :]] + [("g", "d", "e", 0.1, 1, "", "")]
     e = graph.merge_edges(relations(spark, two))
-    for labels in (community.communities(e).withColumnRenamed("community", "c"), community.louvain(e).where("level = 0").withColumnRenamed("cluster", "c")):
+    for labels in (community.communities(e).withColumnRenamed("community", "c"), community.hierarchy(e).where("level = 0").withColumnRenamed("cluster", "c")):
         groups = {}
         for r in labels.collect():
             groups.setdefault(r.c, set()).add(r.name)
         assert sorted(map(sorted, groups.values())) == [list("abcd"), list("efgh")]
 
 
+def test_hierarchy_in_one_task_and_in_all(spark):
+    clique = lambda p, n: [(f"{p}{i}", f"{p}{j}") for i in range(n) for j in range(i + 1, n)]
+    pairs = clique("a", 5) + clique("b", 6) + clique("c", 4) + [("a0", "b0"), ("b1", "c0"), ("x", "y")]
+    e = graph.merge_edges(relations(spark, [("g", a, b, 1.0, 1, "", "") for a, b in pairs]))
+    for local in (1000, 0):
+        found = community.hierarchy(e, 4, local).cache()
+        groups = {}
+        for r in found.where("level = 0").collect():
+            groups.setdefault(r.cluster, []).append(r.name)
+        assert sorted(map(sorted, groups.values())) == [sorted({n for p in clique(k, m) for n in p}) for k, m in (("a", 5), ("b", 6), ("c", 4))]
+        assert rows(community.invariants(found, e, 4)) == [("g", 15, True, True, True)]
+
+
+def test_more_than_the_first_reports(spark):
+    """The cut comes before the rating: a report rated well behind it is not seen."""
+    df = spark.createDataFrame([("g", i, float(-i), 1.0 if i < 600 else 9.0) for i in range(620)], "graph_id string, report_id int, occurrence double, rating double")
+    assert graph.support_points(df, 0.0).count() == 512 and graph.support_points(df, 5.0).count() == 0
+
+
+def test_groups_that_hold_half_of_the_rows(spark):
+    """Positions, budgets and contexts of a hot user, against plain windows."""
+    df = spark.createDataFrame([("hot" if i % 2 else f"u{i % 7}" if i % 13 else None, f"{i * 7919 % 1009:04d}", i % 5 + 1) for i in range(1009)], "user string, at string, n int").repartition(5)
+    got = rank.spread(df, ["user"], ["at"], "n")
+    want = {}
+    for u in {r.user for r in df.collect()}:
+        total = 0
+        for k, r in enumerate(sorted((r for r in df.collect() if r.user == u), key=lambda r: r.at)):
+            total += r.n
+            want[u, r.at] = (k + 1, total)
+    assert {(r.user, r["at"]): (r.position, r.running_n) for r in got.collect()} == want
+    a, b = rank.budget_prefix_spread(df, ["user"], ["at"], "n", 60), rank.budget_prefix(df, ["user"], ["at"], "n", 60)
+    assert a.select("user", "at", "running").exceptAll(b.select("user", "at", "running")).count() == 0 and a.count() == b.count() > 0
+    items = df.where("user is not null").select(F.col("user").alias("question"), F.expr("row_number() over (partition by user order by at)").alias("rank"), F.col("at").alias("ts"), F.lit("user").alias("role"), F.col("at").alias("text"), F.lit("").alias("expansion"))
+    assert prompts.context(items, 2).where("question = 'hot'").first().context.count("[") == 2
+    assert rank.spread(df.limit(0), ["user"], ["at"]).count() == 0
+
+
 def test_greedy_groups(spark):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([9, 2, 2, 3, 1])], "g string, i int, n int")
     assert [r.group for r in graph.greedy_groups(df, "g", "i", "n", 5).orderBy("i").collect()] == [0, 1, 1, 2, 2]
@@ -223,6 +260,13 @@ def test_text_functions(spark):
     assert tuple(r) == ("<b>x", ["a", "b", "c"], True, "s_1", "q", "Ana Li", ["eat", "run"])
 
 
+def test_csv_lines_and_session_ids(spark):
+    df = spark.createDataFrame([(" 'it''s' ", '"a "b" c"', 1.5, None, "see 12345678-ab_session3 and 12345678-ab_session_4")], "a string, b string, n double, z string, s string")
+    line = T.csv_line([(F.col("a"), False), (F.col("b"), False), (F.col("n").cast("string"), True), (F.col("z"), False), (F.lit("7"), False)])
+    r = df.select(line.alias("l"), T.session_ids_in(F.col("s")).alias("i")).first()
+    assert r.l == '"it\'\'s",\t"a "b" c",\t1.5,\t"",\t"7"' and r.i == ["12345678-ab_session3"]
+
+
 def test_records(spark):
     text = '("entity"<|>"ANA"<|>"person"<|>"d")##("relationship"<|>"ANA"<|>"BO"<|>"d"<|>high)##(entity<|>"C"<|>"x"<|>"d")<|COMPLETE|>'
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(F.explode(T.records_in(F.col("t"))).alias("f"))
@@ -234,6 +278,9 @@ def test_records(spark):
 def test_json_salvage():
     assert json.loads(T.salvage('x {"a": {"b": 1}} y {"c": 2}')) == {"a": {"b": 1}}
     assert json.loads(T.salvage("{'action': create, \"n\": 3, flag: true}")) == {"action": "create", "n": 3, "flag": True}
+    # Not a whole object: pairs of the whole text, nested ones as objects.
+    assert json.loads(T.salvage('{"a": {"b": 1, c: x}, "d": [1, 2], e: "f, g"')) == {"a": {"b": 1, "c": "x"}, "d": [1, 2], "e": "f, g"}
+    assert json.loads(T.salvage('{bad} then "k": 2, n: NULL')) == {"k": 2, "n": None}
     assert T.salvage("nothing") is None and T.salvage(None) is None
 
 
@@ -243,6 +290,13 @@ def test_dense_search(spark):
     assert [(r.id, round(r.score, 6)) for r in got.orderBy("rank").collect()] == [(1, 1.0), (3, round(math.sqrt(0.5), 6))]
     assert dense.search(v, v.where("id = 0"), 5, threshold=0.9).count() == 1
     assert dense.search(v, v.where("id = 9"), 5).count() == 0
+    blocked = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, 1.0]) for i in range(60)], "id long, vec array<float>")
+    whole = rows(dense.search(blocked, blocked.where("id % 3 = 0"), 4))
+    held, dense.MAX_QUERY_VALUES, dense.VECTORS_OF_PART = (dense.MAX_QUERY_VALUES, dense.VECTORS_OF_PART), 20, 17
+    try:
+        assert [(q, i, n) for q, i, _, n in rows(dense.search(blocked, blocked.where("id % 3 = 0"), 4))] == [(q, i, n) for q, i, _, n in whole]
+    finally:
+        dense.MAX_QUERY_VALUES, dense.VECTORS_OF_PART = held
     m = spark.createDataFrame([("k", 0, [3.0, 0.0], True), ("k", 1, [0.0, 4.0], True), ("k", 2, [9.0, 9.0], False), ("z", 0, [0.0, 2.0], False)], "k string, pos int, vec array<float>, valid boolean")
     got = {r.k: [round(x, 6) for x in r.vec] for r in dense.masked_mean(m, "k", "vec", "valid", "pos").collect()}
     assert got == {"k": [0.6, 0.8], "z": [0.0, 1.0]}
@@ -265,11 +319,22 @@ def test_cache_keeps_hits_from_the_function(spark):
 
     assert external.complete(df, "key", "prompt", cache, broken).where("key = '2'").first().error == "down"
 
+    def picky(prompts_):
+        if any("bad" in p for p in prompts_):
+            raise RuntimeError("bad prompt")
+        return prompts_
+
+    three = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "fine")], "key string, prompt string").coalesce(1)
+    got = {r.key: (r.response, r.error) for r in external.complete(three, "key", "prompt", cache.limit(0), picky, attempts=2).collect()}
+    assert got == {"a": ("good", None), "b": (None, "bad prompt"), "c": ("fine", None)}
+
 
 def test_prompts(spark):
     df = spark.createDataFrame([("q", i + 1, ts, "user", f"t{i}", f"e{i}") for i, ts in enumerate(["3", "1", "2"])], "question string, rank int, ts string, role string, text string, expansion string")
     assert prompts.context(df, 2).first().context == "[1] 1\nt1\n\n[2] 3\nt0"
     assert prompts.context(df, 2, original=True, merge="replace").first().context == "[1] 1\ne1\n\n[2] 2\ne2"
+    cut = df.select(prompts.answer_prompt(F.lit("q"), F.lit("one  two three"), 2).alias("p"), prompts.answer_prompt(F.lit("q"), F.lit("one  two"), 2).alias("w")).first()
+    assert cut.p.startswith("Context:\none two\n\n") and cut.w.startswith("Context:\none  two\n\n")
     bad = spark.createDataFrame([("odd",)], "k string")
     with pytest.raises(Exception, match="unknown question type"):
         bad.select(prompts.judge_prompt(F.col("k"), F.lit(False), F.lit("q"), F.lit("a"), F.lit("r"))).collect()
