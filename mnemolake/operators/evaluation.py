@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,3 +122,77 @@ def entity_recall(predicted: DataFrame, gold: DataFrame, key: str) -> DataFrame:
 def id_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of one side only: ``missing`` from the left, ``extra`` in it."""
     return right.join(left, key, "left_anti").select(key, F.lit("missing").alias("side")).union(left.join(right, key, "left_anti").select(key, F.lit("extra").alias("side"))).distinct()
+
+
+def memories_text(c: Column, kind: str) -> Column:
+    """Extracted memories as one text: a struct or map as compact JSON, a list joined by
+    semicolons, anything else as it is; null is empty."""
+    made = {"object": lambda: F.to_json(c), "list": lambda: F.array_join(c, ";"), "text": lambda: c.cast("string")}[kind]()
+    return F.coalesce(made, F.lit(""))
+
+
+def judge_scores(points: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(point_id, score)``: memory points ``(point_id, extracted, ...)`` judged, those of
+    sessions from which nothing was extracted scored 0 without a call; a failed call is null."""
+    empty = F.trim(F.coalesce("extracted", F.lit(""))) == ""
+    made = judge(points.where(~empty)).select("point_id", F.col("score").cast("int").alias("score"))
+    return points.where(empty).select("point_id", F.lit(0).alias("score")).union(points.where(~empty).select("point_id").join(made, "point_id", "left"))
+
+
+def question_keys(questions: DataFrame, session: str, position: str) -> DataFrame:
+    """Questions with the key ``<session>_question<position>`` of retrieval maps."""
+    return questions.withColumn("key", F.concat(F.col(session), F.lit("_question"), F.col(position).cast("string")))
+
+
+def context_of_types(items: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Of each question and type the first items, as many as its limit; types without a
+    limit have none. Items ``(key, res_type, rank, ...)``."""
+    from .rank import top_k
+
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("res_type")]
+    known = items.where(F.col("res_type").isin(list(limits)))
+    return top_k(known, ["key", "res_type"], max(limits.values(), default=0), "rank", name="place").where(F.col("place") <= limit)
+
+
+def merged_questions(questions: DataFrame, items: DataFrame, memories: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """``(key, session, question, context, memories)``: questions with the contents of the
+    items retrieved, by type and rank, and the memories of their session; both empty where
+    there are none. Tables ``(key, session, question)``, ``(key, res_type, rank, content)``
+    and ``(session, memory, pos)``."""
+    got = context_of_types(items, limits).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("res_type", "rank", "content"))).alias("c"))
+    held = memories.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "memory"))).alias("m"))
+    out = questions.select("key", "session", "question").join(got, "key", "left").join(held, "session", "left")
+    texts = lambda c, f: F.coalesce(F.transform(c, f), F.array().cast("array<string>"))
+    return out.select("key", "session", "question", texts("c", lambda x: x.content).alias("context"), texts("m", lambda x: x.memory).alias("memories"))
+
+
+def with_original_ids(hits: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Hits with the original session of their id, the id itself where it has none.
+    Tables ``(question, doc, ...)`` and ``(doc, session)``."""
+    return hits.join(mapping.select("doc", "session").dropDuplicates(["doc"]), "doc", "left").withColumn("session", F.coalesce("session", "doc"))
+
+
+def joined_answers(answers: DataFrame, references: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Answers with their references, and the keys of one side only."""
+    return references.join(answers.dropDuplicates([key]), key), id_difference(answers, references, key)
+
+
+def ignored(questions: DataFrame, has_target: str) -> DataFrame:
+    """``(reason, n)``: questions left out of retrieval metrics, by reason: those that ask
+    to abstain, those without a target turn."""
+    from .sessions import is_abstention
+
+    reasons = F.array_compact(F.array(F.when(is_abstention(F.col("question")), F.lit("abstention")), F.when(~F.coalesce(has_target, F.lit(False)), F.lit("no_target"))))
+    return questions.select("question", F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count_distinct("question").alias("n"))
+
+
+def token_usage(calls: DataFrame) -> DataFrame:
+    """Totals of ``(prompt_tokens, completion_tokens)``, null counted as 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return calls.agg(total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), (total("prompt_tokens") + total("completion_tokens")).alias("total_tokens"), F.count("*").alias("calls"))
+
+
+def store_stats(operations: DataFrame, action: str = "op_action") -> DataFrame:
+    """One row: operations, memories created, updates, and attempts that were passed on."""
+    n = lambda v: F.count_if(F.col(action) == v)
+    return operations.agg(F.count("*").alias("operations"), n("created").alias("memories"), n("updated").alias("updated"), n("no_action").alias("rejected"))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, community, context, corpus, dense, evaluation, external, graph, notes, prompts, rank, sessions, sparse
+from ..functions import tokenizer
+from ..operators import build, chunks, community, context, corpus, dense, evaluation, external, graph, notes, prompts, rank, retrieval, sessions, sparse
 from ..scratch import shared_dir
 from ..streaming import ingest
 
@@ -779,6 +780,120 @@ def run_summary(spark, d):
     return rows.agg(F.count_distinct("user_uuid").alias("users"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("memory_id").alias("memories"))
 
 
+# Retrieval by component, with points, over changing documents
+
+
+def _note_corpus(spark, d):
+    rows = note_rows(spark, d, "keywords", "facts", "summary", "content").where("user_uuid is not null")
+    return rows.dropDuplicates(["memory_id"]).withColumnsRenamed({"memory_id": "doc", "user_uuid": "corpus"})
+
+
+def _asked_texts(spark, d):
+    return interests(spark, d).select("question", F.col("question").alias("corpus"), F.col("interests").alias("text"))
+
+
+def _best(scored, k=5):
+    return rank.top_k(scored.withColumn("score", F.round("score", 6)), ["question"], k, F.desc("score"), "doc")
+
+
+@query
+def separate_view_scores(spark, d):
+    out = _best(retrieval.separate_views(_asked_texts(spark, d), _note_corpus(spark, d), external.hex_vector))
+    return out.select("question", "doc", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query
+def merged_mean_scores(spark, d):
+    notes_ = _note_corpus(spark, d)
+    asked = _asked_texts(spark, d).select("question", "corpus", external.hex_vector(F.col("text")).alias("vec"))
+    of = lambda c: retrieval.scores("cosine", asked, notes_.select("corpus", "doc", external.hex_vector(c).alias("vec")))
+    merged = of(F.concat_ws(" ", "keywords", "facts", "summary"))
+    out = _best(retrieval.merged_mean(merged, of(F.coalesce("content", F.lit("")))))
+    return out.select("question", "doc", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query
+def points_of_hits(spark, d):
+    """Notes retrieved first, then cut into points that inherit the score."""
+    hits = _best(retrieval.separate_views(_asked_texts(spark, d), _note_corpus(spark, d), external.hex_vector), 3).withColumnRenamed("doc", "memory_id")
+    out = retrieval.points_of_hits(hits, _note_corpus(spark, d).withColumnRenamed("doc", "memory_id"), 8)
+    return out.select("question", "memory_id", F.col("pos").cast("long").alias("pos"), "point_type", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query
+def documents_replaced(spark, d):
+    """A corpus after new versions of some documents came and others went."""
+    held = _note_corpus(spark, d).select("doc", "corpus", F.col("summary").alias("text"))
+    newer = _note_corpus(spark, d).where("summary is null").select("doc", "corpus", F.col("content").alias("text"))
+    return retrieval.remove_documents(retrieval.add_documents(held, newer, ["doc"]), held.where("text = ''").select("doc"), ["doc"])
+
+
+@query
+def session_id_mapping(spark, d):
+    """Ids of repeated sessions, a second delivery under the mapping of the first, and the
+    mapping found again from the ids before and after."""
+    rows = table(spark, d, "text_chunks").select("user_uuid", "full_doc_id", "chunk_id").where("user_uuid is not null and full_doc_id is not null").distinct()
+    none = spark.createDataFrame([], "session string, n int, unique_id string")
+    first = build.unique_ids_with_mapping(rows, "user_uuid", "full_doc_id", ["chunk_id"], none)
+    again = build.unique_ids_with_mapping(rows, "user_uuid", "full_doc_id", ["chunk_id"], build.mapping_of(first, "full_doc_id"))
+    found = build.reconstructed_mapping(rows, again.select("user_uuid", "chunk_id", F.col("unique_id").alias("full_doc_id")), "user_uuid", "chunk_id", "full_doc_id")
+    return again.join(found.select("unique_id", F.lit(True).alias("mapped")), "unique_id", "left").select("user_uuid", "chunk_id", "unique_id", F.coalesce("mapped", F.lit(False)).alias("mapped"))
+
+
+@query
+def tokenizer_windows(spark, d):
+    rows = table(spark, d, "text_chunks").where("content is not null").select("chunk_id", "content").distinct()
+    out = tokenizer.windows(rows, "chunk_id", "content", tokenizer.Words(), 200, 20)
+    return out.select("chunk_id", F.col("chunk_order_index").cast("long").alias("chunk_order_index"), F.col("tokens").cast("long").alias("tokens"), "content")
+
+
+# Evaluation inputs
+
+
+@query
+def empty_extraction_scores(spark, d):
+    """Points judged by a stated rule, without a call where nothing was extracted."""
+    rows = note_rows(spark, d, "summary").select(F.col("memory_id").alias("point_id"), F.col("summary").alias("extracted")).dropDuplicates(["point_id"])
+    return evaluation.judge_scores(rows, lambda asked: asked.select("point_id", (F.length("extracted") % 3).alias("score")))
+
+
+@query
+def merged_eval_rows(spark, d):
+    """Questions with what was retrieved and extracted for them."""
+    asked = table(spark, d, "text_chunks").where("user_uuid is not null and full_doc_id is not null").select(F.col("full_doc_id").alias("session"), F.col("user_uuid").alias("question")).distinct()
+    asked = evaluation.question_keys(asked.withColumn("n", F.length("question")), "session", "n")
+    items = entity_rows(spark, d).where("source_id is not null").select(F.concat("source_id", F.lit("_question36")).alias("key"), F.when(F.col("entity_row_id") % 4 == 0, "chunk").otherwise("entity").alias("res_type"), F.col("entity_row_id").alias("rank"), F.col("name").alias("content")).dropDuplicates(["rank"])
+    memories = note_rows(spark, d, "session_id", "summary").where("session_id is not null and summary is not null").select(F.col("session_id").alias("session"), F.col("memory_id").alias("pos"), F.col("summary").alias("memory")).dropDuplicates(["pos"])
+    chunk = table(spark, d, "text_chunks").where("full_doc_id is not null").groupBy(F.col("full_doc_id").alias("session")).agg(F.min("chunk_id").alias("chunk_id"))
+    keyed = asked.join(chunk, "session").select(F.concat("chunk_id", F.lit("_question36")).alias("key"), "session", "question")
+    out = evaluation.merged_questions(keyed, items, memories, {"chunk": 2, "entity": 3})
+    return out.select("key", "session", "question", F.array_join("context", " | ").alias("context"), F.size("memories").cast("long").alias("n_memories"))
+
+
+@query
+def original_session_ids(spark, d):
+    hits = table(spark, d, "memory_operations").where("operation_id is not null and new_memory_id is not null").select(F.col("operation_id").alias("question"), F.lower(F.trim("new_memory_id")).alias("doc")).distinct()
+    mapping = note_rows(spark, d, "session_id").where("session_id is not null").select(F.col("memory_id").alias("doc"), F.col("session_id").alias("session")).groupBy("doc").agg(F.min("session").alias("session"))
+    return evaluation.with_original_ids(hits, mapping).select("question", "doc", "session")
+
+
+@query
+def ignored_questions(spark, d):
+    rows = sessions_of(spark, d).select(F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, "_abs").otherwise("")).alias("question"), sessions.has_answer(F.col("turns"), APRIL).alias("has_target"))
+    return evaluation.ignored(rows, "has_target")
+
+
+@query
+def token_usage(spark, d):
+    rows = note_rows(spark, d, "content", "summary").select(T.word_count(F.col("content")).alias("prompt_tokens"), F.when(F.col("summary").isNotNull(), T.word_count(F.col("summary"))).alias("completion_tokens"))
+    return evaluation.token_usage(rows).select("prompt_tokens", "completion_tokens", "total_tokens", "calls")
+
+
+@query
+def store_stats(spark, d):
+    return evaluation.store_stats(table(spark, d, "memory_operations").where("operation_id is not null").select("operation_id", "op_action").distinct())
+
+
 # Prompts and external functions
 
 

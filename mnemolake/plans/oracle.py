@@ -223,7 +223,43 @@ LOCAL = (
     f" || {_section('Sources', 'id content', _lines([_CELL.format('content')], 'rank', 'src'))} as context from (select distinct graph_id from ents) u"
 )
 
+NOTE_CORPUS = f"""{ASK}, {Q_VEC}, nc as (select distinct memory_id doc, user_uuid corpus, keywords, facts, summary, content from memory_notes where memory_id is not null and user_uuid is not null)"""
+SEPARATE = f"""{NOTE_CORPUS}, cp as (select doc, corpus, unnest([keywords, facts, summary, content]) t from nc),
+cs as (select q.graph_id question, doc, {_cos('v', 'q.q')} s from (select doc, corpus, {_hex('t')} v from cp where trim(coalesce(t, '')) <> '') x join qv q on q.graph_id = x.corpus),
+sv as (select a.question, n.doc, round(coalesce(avg(s), 0), 6) score from ask a join nc n on n.corpus = a.question left join cs on cs.question = a.question and cs.doc = n.doc group by 1, 2),
+sr as (select *, row_number() over (partition by question order by score desc, doc) as rank from sv)"""
+
 ORACLE: dict[str, str] = {
+    "separate_view_scores": f"with {SEPARATE} select question, doc, rank, score from sr where rank <= 5",
+    "merged_mean_scores": f"""with {NOTE_CORPUS}, s as (
+    select q.graph_id question, doc, round(({_cos('m', 'q.q')} + {_cos('c', 'q.q')}) / 2, 6) score
+    from (select doc, corpus, {_hex("concat_ws(' ', keywords, facts, summary)")} m, {_hex("coalesce(content, '')")} c from nc) x join qv q on q.graph_id = x.corpus)
+  select question, doc, rank, score from (select *, row_number() over (partition by question order by score desc, doc) as rank from s) where rank <= 5""",
+    "points_of_hits": f"""with {SEPARATE}, {POINTS}, p as (select question, memory_id, pos, point_type, round(score, 4) score, sr.rank nr from sr join points on points.memory_id = sr.doc where sr.rank <= 3)
+  select question, memory_id, pos, point_type, rank, score from (select *, row_number() over (partition by question order by score desc, nr, pos) as rank from p) where rank <= 8""",
+    "documents_replaced": """select distinct memory_id doc, user_uuid corpus, case when summary is null then content else summary end as text from memory_notes
+  where memory_id is not null and user_uuid is not null and (summary is null or summary <> '')""",
+    "session_id_mapping": """with t as (select distinct user_uuid, full_doc_id, chunk_id from text_chunks where user_uuid is not null and full_doc_id is not null),
+  r as (select *, row_number() over (partition by user_uuid, full_doc_id order by chunk_id) n from t)
+  select user_uuid, chunk_id, case when n = 1 then full_doc_id else full_doc_id || '_' || substr(md5(full_doc_id || '|' || n), 1, 6) end unique_id, n > 1 mapped from r""",
+    "tokenizer_windows": r"""with t as (select distinct chunk_id, content from text_chunks where content is not null and content <> ''), w as (select chunk_id, regexp_extract_all(content, '[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+$') w from t),
+  s as (select chunk_id, w, unnest(range(0, len(w), 180)) a from w)
+  select chunk_id, a // 180 chunk_order_index, least(200, len(w) - a) tokens, regexp_replace(array_to_string(w[a + 1:a + 200], ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') as content from s""",
+    "empty_extraction_scores": "select distinct memory_id point_id, case when trim(coalesce(summary, '')) = '' then 0 else length(summary) % 3 end::int score from memory_notes where memory_id is not null",
+    "merged_eval_rows": f"""with {ENT}, c as (select full_doc_id session, min(chunk_id) chunk_id from text_chunks where full_doc_id is not null group by 1),
+  a as (select distinct full_doc_id session, user_uuid question from text_chunks where user_uuid is not null and full_doc_id is not null),
+  i as (select source_id chunk_id, case when entity_row_id % 4 = 0 then 'chunk' else 'entity' end t, entity_row_id r, any_value(name) as name from ent where source_id is not null group by 1, 2, 3),
+  k as (select *, row_number() over (partition by chunk_id, t order by r) p from i), x as (select chunk_id, string_agg(name, ' | ' order by t, r) context from k where p <= case t when 'chunk' then 2 else 3 end group by 1),
+  m as (select session_id session, count(distinct memory_id) n from memory_notes where memory_id is not null and session_id is not null and summary is not null group by 1)
+  select chunk_id || '_question36' as key, session, question, coalesce(context, '') context, coalesce(n, 0) n_memories from a join c using (session) left join x using (chunk_id) left join m using (session)""",
+    "original_session_ids": """with h as (select distinct operation_id question, lower(trim(new_memory_id)) doc from memory_operations where operation_id is not null and new_memory_id is not null),
+  m as (select memory_id doc, min(session_id) session from memory_notes where memory_id is not null and session_id is not null group by 1)
+  select question, doc, coalesce(session, doc) session from h left join m using (doc)""",
+    "ignored_questions": f"""with {SESS}, q as (select doc_id, doc_id % 5 = 0 a, len(list_filter(u, lambda x: contains(x, 'April'))) = 0 b from us)
+  select reason, count(*) n from (select 'abstention' reason from q where a union all select 'no_target' from q where b) group by 1""",
+    "token_usage": f"""with t as (select distinct memory_id, user_uuid, content, summary from memory_notes where memory_id is not null)
+  select sum({_words('content')})::bigint prompt_tokens, sum(case when summary is not null then {_words('summary')} end)::bigint completion_tokens, (sum({_words('content')}) + sum(case when summary is not null then {_words('summary')} end))::bigint total_tokens, count(*) calls from t""",
+    "store_stats": "with t as (select distinct operation_id, op_action from memory_operations where operation_id is not null) select count(*) operations, count(*) filter (where op_action = 'created') memories, count(*) filter (where op_action = 'updated') updated, count(*) filter (where op_action = 'no_action') rejected from t",
     "session_user_text": f"with {SESS} select doc_id, coalesce(array_to_string(u, ' '), '') flat_text, coalesce(array_to_string(list_transform(u, lambda x: x || chr(10)), ''), '') graph_text from us",
     "session_dialogue_render": rf"""with s as (
   select doc_id, list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '{HEAD}')) parts from documents where {SOURCE} = 'halu_dialogue'
