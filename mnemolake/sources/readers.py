@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +32,18 @@ def json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame
     return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
 
 
-def detect(path: str) -> str:
-    """What a JSON file holds: ``array``, ``map`` or ``lines``."""
-    with open(path, encoding="utf-8") as f:
-        head = f.read(1 << 20).lstrip()
-    if head.startswith("["):
+def detect(spark: SparkSession, path: str) -> str:
+    """What a JSON file holds: ``array``, ``map`` (one object) or ``lines``. The file is
+    read as lines where it lies, whatever their length; only heads come to the driver."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    first = [r.head for r in lines.select(F.substring(F.ltrim("value"), 1, 1).alias("head")).limit(1).collect()]
+    if first == ["["]:
         return "array"
-    if head.startswith("{"):
-        try:
-            json.loads(head.split("\n", 1)[0])
-            return "lines"
-        except ValueError:
-            return "map"
+    if first == ["{"]:
+        # More than one line, and each line an object of its own.
+        whole = F.try_parse_json("value").isNotNull() & F.startswith(F.trim("value"), F.lit("{"))
+        n, objects = lines.agg(F.count("*"), F.count_if(whole)).first()
+        return "lines" if n > 1 and 2 * objects > n else "map"
     raise ValueError(f"{path} holds no JSON")
 
 
@@ -67,12 +64,6 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def latest(folder: str, pattern: str) -> str | None:
-    """The newest file of a pattern, ties to the last name."""
-    files = sorted(Path(folder).glob(pattern), key=lambda p: (p.stat().st_mtime, p.name))
-    return str(files[-1]) if files else None
-
-
 def write_keyed(df: DataFrame, path: str, keys: list[str]) -> None:
     """A keyed table: one row a key, sorted by it inside the files."""
     df.dropDuplicates(keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)

@@ -364,7 +364,7 @@ def test_configuration():
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"question_id": "q", "haystack_session_ids": ["s"], "haystack_dates": ["d"], "haystack_sessions": [[{"role": "user", "content": "x"}]]}]))
-    assert readers.detect(str(tmp_path / "a.json")) == "array"
+    assert readers.detect(spark, str(tmp_path / "a.json")) == "array"
     t = readers.turns(readers.json_array(spark, str(tmp_path / "a.json"), readers.HAYSTACK)).first()
     assert (t.session_id, t.session_pos, t.turns[0].content) == ("s", 0, "x")
     (tmp_path / "b.jsonl").write_text('{"uuid": "u"}\n\nbroken\n')
@@ -372,7 +372,9 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception):
         readers.json_lines(spark, str(tmp_path / "b.jsonl"), readers.USERS).collect()
     (tmp_path / "c.json").write_text('{"k":\n "v", "n": null}')
-    assert readers.detect(str(tmp_path / "c.json")) == "map"
+    assert readers.detect(spark, str(tmp_path / "c.json")) == "map"
+    (tmp_path / "l.json").write_text('{"a": "' + "x" * 2_000_000 + '"}\n\n{"a": "y"}\nbad\n')
+    assert readers.detect(spark, str(tmp_path / "l.json")) == "lines"
     assert rows(readers.json_map(spark, str(tmp_path / "c.json")).where("key = 'k'")) == [("k", "v")]
     (tmp_path / "g.xml").write_text('<graphml><key id="d0" attr.name="weight"/><graph><node id="A"><data key="d0">1</data></node><edge source="A" target="B"><data key="d0">2</data></edge></graph></graphml>')
     nodes, edges = readers.graphml(spark, str(tmp_path / "g.xml"))
