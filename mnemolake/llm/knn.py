@@ -7,9 +7,9 @@ whatever their number, and there are rotations enough for ``TABLES`` tables. By
 pigeonhole principle two codes within Hamming distance tables * (s + 1) - 1 agree in
 one substring up to s bits: a query probes, in each table, the substrings within s
 bits of its own and meets every code of that radius. Step s = 1 is for all; a query
-that met fewer than k codes within its radius goes on with s = 2 and 3, and further
-while it met fewer than k vectors at all. What is met is ranked by the distance
-of vectors rounded to bytes, which travel with the codes, and the shortlist's best are
+that met fewer than SURE k codes within its radius goes on with s = 2 and 3, and further
+while it met fewer than SURE k vectors at all. What is met is ranked by the distance
+of vectors in half precision, which travel with the codes, and the shortlist's best are
 reranked by the float vectors, in double precision; ties go to the smaller id.
 
 A bucket with more than ``Sizes.crowd`` vectors is a crowd: vectors too alike for the code.
@@ -46,6 +46,8 @@ TABLES = 8
 SAMPLE = 20_000
 ROWS_A_TASK = 250_000
 MOST_STEPS, MOST_LEVELS = 3, 4
+# A query is done with so many times k codes within its radius: codes tell distances roughly.
+SURE = 1
 FAR, NEAR, ASKS, MEMBER = 0, 1, 2, 3
 
 
@@ -65,13 +67,15 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
 
 class Sizes(NamedTuple):
     """Vectors of a cut, of a bucket before it is a crowd, of a crowd that is searched on
-    floats and of a cell of it; candidates of a query that are reranked."""
+    floats and of a cell of it; candidates of a query that are kept of a cut (more than
+    the neighbours asked for) and that are reranked."""
 
     rows: int = 65_536
     crowd: int = 64
     floats: int = 16_384
     cell: int = 4096
-    shortlist: int = 16
+    of_cut: int = 8
+    shortlist: int = 8
 
 
 class Layout:
@@ -128,7 +132,7 @@ def _mix(a, b) -> np.ndarray:
 
 def _code(batches: Iterator[pa.RecordBatch], model, dim: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, n, key, filed, asks, vec, centre) with their body: the code's
-    words, the vector from the centre in bytes, the bytes' scale and its square length."""
+    words, the vector from the centre in half precision and its square length."""
     mean, rotation = model.value
     word = min(64, dim)
     for batch in batches:
@@ -140,9 +144,9 @@ def _code(batches: Iterator[pa.RecordBatch], model, dim: int) -> Iterator[pa.Rec
         x = x - centre
         bits = (x @ rotation > 0).reshape(len(x), -1, word)
         packed = np.packbits(np.pad(bits, ((0, 0), (0, 0), (64 - word, 0))), axis=2)
-        scale = np.maximum(np.abs(x).max(1), 1e-30) / 127
-        tail = np.stack([scale, (x**2).sum(1)], 1).astype("<f4")
-        body = np.hstack([packed.reshape(len(x), -1), np.rint(x / scale[:, None]).astype(np.int8).view(np.uint8), tail.view(np.uint8)])
+        small = x.astype("<f2")
+        square = (small.astype(np.float32) ** 2).sum(1, keepdims=True).astype("<f4")
+        body = np.hstack([packed.reshape(len(x), -1), small.view(np.uint8), square.view(np.uint8)])
         data = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * body.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
         yield pa.record_batch({**{c: batch.column(c) for c in ("group", "n", "key", "filed", "asks")}, "body": data})
 
@@ -233,8 +237,8 @@ def _probe(batches: Iterator[pa.RecordBatch], dim: int, words: int, sizes: Sizes
     body = np.concatenate([_bodies(b.column("body")) for b in held])
     del held
     code = _words(body, words)
-    small = body[:, 8 * words : 8 * words + dim].view(np.int8)
-    scale, square = np.ascontiguousarray(body[:, 8 * words + dim :]).view("<f4").T
+    small = np.ascontiguousarray(body[:, 8 * words : 8 * words + 2 * dim]).view("<f2")
+    square = np.ascontiguousarray(body[:, 8 * words + 2 * dim :]).view("<f4").ravel()
     order = np.lexsort((raw["want"], raw["cell"], raw["slot"]))
     slot, cell = raw["slot"][order], raw["cell"][order]
     cut = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (cell[1:] != cell[:-1]), True])
@@ -242,7 +246,7 @@ def _probe(batches: Iterator[pa.RecordBatch], dim: int, words: int, sizes: Sizes
 
     def flushed(found):
         q, i, near, score = (np.concatenate(c) for c in zip(*found))
-        top = _best(q, score, sizes.shortlist)
+        top = _best(q, score, sizes.of_cut)
         return q[top], i[top], near[top], score[top]
 
     for a, b in zip(cut[:-1], cut[1:]):
@@ -286,7 +290,7 @@ def _probe(batches: Iterator[pa.RecordBatch], dim: int, words: int, sizes: Sizes
                             elif exact:
                                 met |= off < step
                         x, y, d = x[~met], y[~met], d[~met]
-                        score = np.einsum("ij,ij->i", small[x].astype(np.float32), small[y].astype(np.float32)) * (2 * scale[x] * scale[y]) - square[x] - square[y]
+                        score = np.einsum("ij,ij->i", small[x].astype(np.float32), small[y].astype(np.float32)) * 2 - square[x] - square[y]
                         found.append((x, y, d <= lay.radius(step), score))
                         met_so_far += len(x)
                     if met_so_far > 2_000_000:
@@ -416,6 +420,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, sizes: Sizes = Sizes(
     vector of a table ``(id, vec)``. Unusable and null vectors have none and are
     nobody's; an empty table gives an empty one; fewer than k others give fewer."""
     spark = vectors.sparkSession
+    sizes = sizes._replace(of_cut=max(sizes.of_cut, k + 3), shortlist=max(sizes.shortlist, k + 3))
     scratch = Scratch(spark, "nearest")
     members = scratch.keep(usable(vectors, dim).withColumn("key", F.xxhash64("vec")), "members")
     unique = scratch.keep(members.groupBy("key").agg(F.min("vec").alias("vec")), "unique")
@@ -430,11 +435,12 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, sizes: Sizes = Sizes(
     every = unique.select(F.lit(0).cast("long").alias("group"), F.lit(total).cast("long").alias("n"), "key", F.lit(True).alias("filed"), F.lit(True).alias("asks"), "vec", F.lit(None).cast("array<double>").alias("centre"))
     coded = search.coded(every, "coded")
     found, crowds, known = search.step(1, coded, None, total, None)
-    enough, step = min(k, total - 1), 1
+    enough, step = min(SURE * k, total - 1), 1
     while step < lay.width:
-        # Whoever met k codes within the radius is done; later, whoever met k vectors.
+        # Whoever met enough codes within the radius is done; later, whoever met so many vectors. A pair
+        # is met once, and whoever asked a crowd met more than k.
         met = found.where(F.col("kind") == NEAR) if step < MOST_STEPS else found
-        done = met.select("q", "i").union(crowds.select("q", "i")).distinct().groupBy("q").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select(F.col("q").alias("key"))
+        done = met.select("q").union(crowds.select("q")).groupBy("q").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select(F.col("q").alias("key"))
         starved = scratch.keep(unique.select("key").join(done, "key", "left_anti"), f"starved{step}")
         left = starved.count()
         if not left:
@@ -442,7 +448,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, sizes: Sizes = Sizes(
         step += 1
         more, others, known = search.step(step, coded, starved, left, known)
         found, crowds = found.union(more), crowds.union(others)
-    listed = _top(found.groupBy("q", "i").agg(F.max("score").alias("score")), "q", sizes.shortlist, F.desc("score"), "i")
+    listed = _top(found, "q", sizes.shortlist, F.desc("score"), "i")
     near = listed.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y")).distinct()
     left, right = unique.select(F.col("key").alias("x"), F.col("vec").alias("u")), unique.select(F.col("key").alias("y"), F.col("vec").alias("v"))
     scored = near.join(left, "x").join(right, "y").select("x", "y", "u", "v").mapInArrow(lambda b: _cosines(b, dim), "x long, y long, cos double")
