@@ -81,7 +81,7 @@ class Sizes(NamedTuple):
 class Layout:
     """How a collection of n vectors is cut: substring width, leading bits, tables."""
 
-    def __init__(self, n: int, word: int, words: int | None = None, rows: int = Sizes.rows):
+    def __init__(self, n: int, word: int, words: int | None = None, rows: int = Sizes().rows):
         self.word = word
         self.width = max(1, min(32, word, max(8, ceil(log2(max(n, 2))))))
         self.a_word = word // self.width
@@ -352,6 +352,8 @@ class _Search:
         self.unique, self.total, self.model, self.words, self.dim, self.k, self.scratch, self.sizes = unique, total, model, words, dim, k, scratch, sizes
         self.cores = unique.sparkSession.sparkContext.defaultParallelism
         self.runs = 0
+        # Whether a crowd was searched as a collection: then a pair may be met more than once.
+        self.deep = False
 
     def coded(self, rows: DataFrame, name: str) -> DataFrame:
         model, dim = self.model, self.dim
@@ -406,6 +408,7 @@ class _Search:
             count = large.agg(F.sum("n"), F.sum("asking")).first()
             if last or not count[0]:
                 break
+            self.deep = True
             inside = crowded.join(large.select("crowd", "n"), "crowd").join(self.unique, "key")
             centre = inside.where("filed").select("crowd", F.posexplode("vec").alias("dim", "x"), F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x)).alias("norm"))
             centre = centre.groupBy("crowd", "dim").agg(F.avg(F.col("x") / F.col("norm")).alias("x")).groupBy("crowd").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e.x).alias("centre"))
@@ -436,6 +439,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, sizes: Sizes = Sizes(
     coded = search.coded(every, "coded")
     found, crowds, known = search.step(1, coded, None, total, None)
     enough, step = min(SURE * k, total - 1), 1
+
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("q", "i").agg(F.max("kind").alias("kind"), F.max("score").alias("score")) if search.deep else pairs
+
+    found = once(found)
     while step < lay.width:
         # Whoever met enough codes within the radius is done; later, whoever met so many vectors. A pair
         # is met once, and whoever asked a crowd met more than k.
@@ -447,7 +455,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, sizes: Sizes = Sizes(
             break
         step += 1
         more, others, known = search.step(step, coded, starved, left, known)
-        found, crowds = found.union(more), crowds.union(others)
+        found, crowds = once(found.union(more)), crowds.union(others)
     listed = _top(found, "q", sizes.shortlist, F.desc("score"), "i")
     near = listed.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y")).distinct()
     left, right = unique.select(F.col("key").alias("x"), F.col("vec").alias("u")), unique.select(F.col("key").alias("y"), F.col("vec").alias("v"))
