@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_line, word_count
 from .dense import cosine
 from .graph import SEP, degrees, related_edges
-from .rank import budget_prefix, first_occurrence, ranked, top_k
+from .rank import budget_prefix, ranked, top_k
 
 NEW_CHUNK = "--New Chunk--\n"
 
@@ -153,8 +153,3 @@ def items_by_session(items: DataFrame, sources: str = "source_ids") -> DataFrame
 
     found = F.array_distinct(F.flatten(F.transform(sources, session_ids_in)))
     return items.withColumn("session_id", F.explode(found))
-
-
-def first_of(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """A hit once, at its best place."""
-    return first_occurrence(hits, keys, "hit")

@@ -92,10 +92,3 @@ def resolve_ids(retrieved: DataFrame, known: DataFrame, legacy: bool = False) ->
     options = retrieved.withColumn("option", F.explode(F.array(F.struct(F.lit(0).alias("prio"), F.col("doc").alias("resolved")), F.struct(F.lit(1).alias("prio"), swap.alias("resolved"))))).select("*", "option.*").drop("option")
     hit = options.join(known.select("question", F.col("doc").alias("resolved")).distinct(), ["question", "resolved"])
     return first_occurrence(hit, ["question", "doc"], "prio").drop("prio")
-
-
-def slice_context(items: Column, k: int, last: bool = False) -> Column:
-    """The first k items, or the last k in their order."""
-    if last:
-        return F.slice(items, F.greatest(F.size(items) - k + 1, F.lit(1)), k)
-    return F.slice(items, 1, k)
