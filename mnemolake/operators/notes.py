@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import sys
+from array import array
 from collections.abc import Callable
+from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,29 +53,93 @@ def operation_index(ops: DataFrame, key: str, *order) -> DataFrame:
 
 
 class NoteStore:
-    """Word sets of notes with an index from words to notes, so that a new note is
-    compared only with those that share a word with it."""
+    """Notes as bags of distinct words, with an index from words to notes.
+
+    Shared words are counted over all notes at once: words of many notes are columns
+    of 0 and 1, the others lists of note numbers."""
+
+    # A word in more than one of so many notes is a column.
+    COLUMN = 16
 
     def __init__(self, notes: dict[str, set] | None = None):
-        self.notes: dict[str, set] = {}
-        self.index: dict[str, set] = {}
+        self.notes: dict[str, tuple] = {}
+        self._keys: list[str] = []
+        self._at: dict[str, int] = {}
+        self._sizes = np.zeros(1024, np.int32)
+        self._lists: dict[str, array] = {}
+        self._columns: dict[str, np.ndarray] = {}
         for key, words in (notes or {}).items():
             self.put(key, words)
 
     def put(self, key: str, words: set) -> None:
         """Add the words to a note."""
-        held = self.notes.setdefault(key, set())
-        for w in words - held:
-            self.index.setdefault(w, set()).add(key)
-        held |= words
+        held = self.notes.get(key, ())
+        at = self._at.get(key)
+        if at is None:
+            at = self._at[key] = len(self._keys)
+            self._keys.append(key)
+            if at == len(self._sizes):
+                self._grow()
+        more = set(words).difference(held)
+        self.notes[key] = (*held, *map(sys.intern, more))
+        self._sizes[at] += len(more)
+        for w in more:
+            column = self._columns.get(w)
+            if column is not None:
+                column[at] = 1
+                continue
+            numbers = self._lists.setdefault(sys.intern(w), array("i"))
+            numbers.append(at)
+            if len(numbers) > 64 and len(numbers) * self.COLUMN > len(self._keys):
+                column = self._columns[sys.intern(w)] = np.zeros(len(self._sizes), np.uint8)
+                column[np.frombuffer(numbers, np.int32)] = 1
+                del self._lists[w]
+
+    def _grow(self) -> None:
+        """Room for twice the notes; columns of words that have become rare are lists again."""
+        n = len(self._sizes)
+        self._sizes = np.concatenate([self._sizes, np.zeros(n, np.int32)])
+        for w, column in list(self._columns.items()):
+            numbers = np.flatnonzero(column).astype(np.int32)
+            if len(numbers) * 2 * self.COLUMN > n:
+                self._columns[w] = np.concatenate([column, np.zeros(n, np.uint8)])
+            else:
+                self._lists[w] = array("i", numbers.tobytes())
+                del self._columns[w]
+
+    def _shared(self, words: set) -> np.ndarray:
+        """The number of words that each note shares with these."""
+        n = len(self._keys)
+        shared = np.zeros(n, np.uint8 if len(words) < 256 else np.int32)
+        for w in words:
+            if w in self._columns:
+                shared += self._columns[w][:n]
+            elif w in self._lists:
+                shared[np.frombuffer(self._lists[w], np.int32)] += 1
+        return shared
 
     def similar(self, words: set, least: float, most: int) -> list[tuple[float, str]]:
         """The ``most`` notes at or above a word similarity, best first, ties to the smaller key."""
-        shared: Counter = Counter()
-        for w in words:
-            shared.update(self.index.get(w, ()))
-        found = [(n / (len(words) + len(self.notes[k]) - n), k) for k, n in shared.items()]
-        return heapq.nsmallest(most, (x for x in found if x[0] >= least), key=lambda x: (-x[0], x[1]))
+        if not words or not self._keys or most < 1:
+            return []
+        shared = self._shared(words)
+
+        def likeness(found: np.ndarray) -> np.ndarray:
+            n = shared[found].astype(np.int64)
+            return n / (len(words) + self._sizes[found] - n)
+
+        # The notes that share most bound the similarity of the last one taken.
+        high = np.bincount(shared)[::-1].cumsum()
+        high = len(high) - 1 - int(np.searchsorted(high, most))
+        bound = least
+        if high > 0:
+            bound = max(least, float(np.sort(likeness(np.flatnonzero(shared >= high)))[-most]))
+        # A similarity is at most the share of the words that are in the note.
+        found = np.flatnonzero(shared >= max(1, ceil(bound * len(words) - 1e-6)))
+        like = likeness(found)
+        taken = sorted(((s, self._keys[i]) for s, i in zip(like[like > bound].tolist(), found[like > bound].tolist())), key=lambda x: (-x[0], x[1]))[:most]
+        ties = heapq.nsmallest(most - len(taken), map(self._keys.__getitem__, found[like == bound].tolist()))
+        return taken + [(bound, k) for k in ties]
 
 
 def overlap_decision(note: set, store: NoteStore, update_at: float = 0.6, link_at: float = 0.3):

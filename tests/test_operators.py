@@ -346,6 +346,37 @@ def test_decision_fold(spark):
     assert got == [("create", None, 1), ("update", "m1", 1), ("pass", None, 1), ("create", None, 2)]
 
 
+def test_note_store_counts_like_a_plain_comparison():
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    store, held = notes.NoteStore(), {}
+    for step in range(1500):
+        own = {words[min(int(rng.expovariate(0.12)), 59)] for _ in range(rng.randint(1, 9))}
+        for most, least in ((5, 0.3), (2, 0.6), (3, 0.0)):
+            each = [(len(own & w) / len(own | w), k) for k, w in held.items() if own & w]
+            assert store.similar(own, least, most) == sorted((x for x in each if x[0] >= least), key=lambda x: (-x[0], x[1]))[:most]
+        key = f"m{rng.randint(0, 1400)}"
+        store.put(key, own)
+        held[key] = held.get(key, set()) | own
+    assert store.similar(set(), 0.3, 5) == [] and {k: set(w) for k, w in store.notes.items()} == held
+
+
+def test_note_store_with_many_notes_of_common_words():
+    import time
+
+    store = notes.NoteStore()
+    for i in range(20_000):
+        store.put(f"m{i:05}", {*"the user likes to go out and see a".split(), f"a{i % 4000}", f"b{i % 700}", f"c{i % 90}"})
+    began = time.process_time()
+    for i in range(300):
+        words = {*"the user likes to go out and see a".split(), f"b{i}", f"c{i % 80}", f"d{i}"}
+        assert len(store.similar(words, 0.3, 5)) == 5
+    # A comparison word by word takes over 6 s.
+    assert time.process_time() - began < 3
+
+
 def test_point_in_time_does_not_see_later_rows(spark):
     q = spark.createDataFrame([("u", "2")], "k string, at string")
     i = spark.createDataFrame([("u", "1"), ("u", "2")], "k string, item_at string")
