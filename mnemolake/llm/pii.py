@@ -24,21 +24,29 @@ they disclose.
   is common; a frequent word is common unless half of its uses are beside one.
 
 Terms found are replaced by a placeholder of their type, everything else is left
-as it is. Only bounded statistics reach the driver: words of high document
-frequency (at most 2 ** bits times the average length), and forms, given names and
-followers of streets over a floor that rises with the corpus, so that there are at
-most ``MOST_TERMS`` of each.
+as it is. Words of high document frequency reach the driver (at most 2 ** bits times
+the average length), and forms, given names and followers of streets where there are
+at most ``MOST_TERMS`` of them. Where there are more, every one is judged in the
+executors by the same totals, and what is disclosed is looked up in a file (``Terms``).
 """
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import sqlite3
+import tempfile
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import log2, prod
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +70,9 @@ LEAST_SHARE = 0.02
 LEAST_PMI = 0.5
 # Cue words so rare in the corpus that their rate says little count as this frequent.
 LEAST_RATE = 0.1
+# More terms than these are held in a file, of which each worker remembers some.
 MOST_TERMS = 500_000
+REMEMBERED = 100_000
 # Fixed value: the longest international number; more digits are two numbers side by side.
 MOST_DIGITS = 15
 WINDOW = 40
@@ -269,12 +279,55 @@ def _count_batch(counts: Counter, words: Counter) -> pa.RecordBatch:
     )
 
 
+class Terms:
+    """Any number of terms of one kind with a value each, in a file that Spark hands to
+    every executor; those looked up last are remembered."""
+
+    def __init__(self, file: str, kind: str, always: frozenset[str] = frozenset()):
+        self.file, self.kind, self.always = file, kind, always
+        self._find: Callable | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_find": None}
+
+    def get(self, key: str) -> str | None:
+        """The term's value, None for any other word."""
+        if self._find is None:
+            base = sqlite3.connect(f"{Path(SparkFiles.get(self.file)).as_uri()}?mode=ro&immutable=1", uri=True, check_same_thread=False)
+            self._find = lru_cache(REMEMBERED)(lambda k: base.execute("select value from term where kind = ? and key = ?", (self.kind, k)).fetchone())
+        found = self._find(key)
+        return found and found[0]
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.always or self.get(key) is not None
+
+    @staticmethod
+    def written(rows: DataFrame) -> str:
+        """A file of ``(kind, key, value)``, row by row; the name that executors know it by."""
+        folder = Path(tempfile.mkdtemp(prefix="mnemolake-terms-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        file = folder / f"terms-{uuid.uuid4().hex}.sqlite"
+        base = sqlite3.connect(file)
+        base.execute("pragma journal_mode = off")
+        base.execute("create table term (kind text, key text, value text, primary key (kind, key)) without rowid")
+        base.executemany("insert or ignore into term values (?, ?, ?)", (tuple(r) for r in rows.select("kind", "key", "value").toLocalIterator()))
+        base.commit()
+        base.close()
+        rows.sparkSession.sparkContext.addFile(str(file))
+        return file.name
+
+
+def _ends(name: str) -> set[str]:
+    """The first and the last part of a given name."""
+    return {name.split("-")[0], name.split("-")[-1]}
+
+
 class Lexicon:
     """The corpus statistics that decide about terms."""
 
-    def __init__(self, forms: dict[str, str], given: frozenset[str], common: frozenset[str], places: "Places"):
+    def __init__(self, forms: "dict[str, str] | Terms", given: "frozenset[str] | Terms", common: frozenset[str], places: "Places", parts: "Terms | None" = None):
         self.forms, self.given, self.common, self.places = forms, given, common, places
-        self.parts = _TITLE | {x.split("-")[0] for x in given} | {x.split("-")[-1] for x in given}
+        self.parts = parts or _TITLE.union(*map(_ends, given))
 
     def names(self, text: str) -> list[tuple[int, int, str]]:
         """Person names: a family name with a given name, an initial or a title."""
@@ -385,8 +438,8 @@ class Places:
     of its kind that are followed too, these on the rate anywhere; a form without a
     follower leans on the kind, the kind on one cue."""
 
-    def __init__(self, seen: dict[str, int], near: dict[str, int], anywhere: dict[str, float]):
-        self.seen, self.near, self.anywhere = Counter(seen), Counter(near), anywhere
+    def __init__(self, seen: dict[str, int], near: dict[str, int], anywhere: dict[str, float], decided: Terms | None = None):
+        self.seen, self.near, self.anywhere, self.decided = Counter(seen), Counter(near), anywhere, decided
         for form, n in seen.items():
             for above in self.above(form):
                 self.seen[above] += n
@@ -397,24 +450,80 @@ class Places:
         kind = form.split(" ")[0]
         return [kind, f"{kind} *"] if len(form.split(" ")) > 2 and kind == "address" else [kind]
 
-    def pmi(self, form: str) -> float:
+    def pmi(self, form: str, seen: int | None = None, near: int = 0) -> float:
+        """The PMI of a form with the cues, by its own counts where they are given."""
         levels = [*self.above(form), form]
         rate = 1.0
         if levels[1].endswith("*"):
             # A street word with a follower is not told for an address by other addresses.
             rate, levels = self.anywhere[levels[0]], levels[1:]
         for level in levels:
-            rate = (self.near[level] + rate) / (self.seen[level] + 1)
+            own = (near, seen) if seen is not None and level == form else (self.near[level], self.seen[level])
+            rate = (own[0] + rate) / (own[1] + 1)
         return log2(rate / self.anywhere[form.split(" ")[0]])
 
     def disclosed(self, form: str) -> bool:
-        return self.pmi(form) > LEAST_PMI
+        decided = self.decided and self.decided.get(form)
+        return decided == "yes" if decided else self.pmi(form) > LEAST_PMI
+
+
+_NO_GIVEN = _TITLE | frozenset(fold(x) for x in f"{STREETS} {PREFIX_STREETS} {FRENCH_STREETS}".split())
+_TERM = "kind string, key string, value string"
+
+
+def _each(rows: DataFrame, judge: Callable, schema: str) -> DataFrame:
+    """What ``judge`` yields for each row."""
+
+    def run(batches):
+        for batch in batches:
+            made = [x for row in zip(*(c.to_pylist() for c in batch.columns)) for x in judge(*row)]
+            types = [f.split(" ")[1] for f in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(list(zip(*made)) or [[]] * len(types), types)], [f.split(" ")[0] for f in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _given_terms(key: str):
+    if (name := fold(key)) not in _NO_GIVEN:
+        yield "given", name, ""
+        for part in _ends(name):
+            yield "part", part, ""
+
+
+def _form_terms(numbers: DataFrame) -> DataFrame:
+    """The disclosed ones of any number of forms, by the totals of their shapes."""
+    each = numbers.groupBy("key").agg(*[F.sum(F.when((F.col("kind") == "cue") & (F.col("value") == k), F.col("n")).otherwise(0)).alias(k) for k in KINDS])
+    shaped = _each(each, lambda key, *n: [(shape_of(key), *n)], f"shape string, {', '.join(f'{k} long' for k in KINDS)}")
+    totals = shaped.groupBy("shape").agg(F.count("*").alias("forms"), *[F.sum(k).alias(k) for k in KINDS]).collect()
+    shapes = Shapes({r.shape: (r.forms, Counter({k: r[k] for k in KINDS})) for r in totals})
+    return _each(each, lambda key, *n: [("form", key, kind)] if (kind := shapes.kind(key, Counter(dict(zip(KINDS, n))))) else [], _TERM)
 
 
-def _floored(rows: DataFrame) -> DataFrame:
-    """Counted terms ``(key, n, ...)`` over a floor, so that at most ``MOST_TERMS`` are left."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    return rows.where(F.col("n") >= total // MOST_TERMS)
+def _place_terms(places: DataFrame, anywhere: dict[str, float]) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
+    """The forms of any number that are decided otherwise than one never seen, and the
+    totals of all forms above them, seen and near a cue."""
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    each = places.groupBy("key").agg(count("place").alias("seen"), count("near").alias("near"))
+    above = _each(each, lambda key, seen, near: [(a, seen, near) for a in Places.above(key)], "key string, seen long, near long")
+    totals = above.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("near").alias("near")).collect()
+    seen, near = {r.key: r.seen for r in totals}, {r.key: r.near for r in totals}
+    known = Places({}, {}, anywhere)
+    known.seen.update(seen)
+    known.near.update(near)
+
+    def judge(key, n, m):
+        own = known.pmi(key, n, m) > LEAST_PMI
+        if own != (known.pmi(key) > LEAST_PMI):
+            yield "place", key, "yes" if own else "no"
+
+    return _each(each, judge, _TERM), seen, near
+
+
+def _beside(pairs: DataFrame, hot: list[str], given: "frozenset[str] | Terms") -> DataFrame:
+    """How often each hot word follows a given name, a title or an initial."""
+    rows = pairs.where(F.lower("value").isin(hot)).select(F.lower("key").alias("a"), F.lower("value").alias("b"), "n")
+    found = _each(rows, lambda a, b, n: [(b, n)] if fold(a) in given or fold(a) in _TITLE or len(a) == 1 else [], "b string, n long")
+    return found.groupBy("b").agg(F.sum("n").alias("n"))
 
 
 def learn(texts: DataFrame) -> Lexicon:
@@ -439,63 +548,74 @@ def learn(texts: DataFrame) -> Lexicon:
         .agg(F.sum("n").alias("all"), F.sum(informative.cast("int")).alias("followers"), F.sum(F.when(informative, F.col("n"))).alias("n"))
         .where((F.col("followers") >= LEAST_FOLLOWERS) & (F.col("n") >= LEAST_SHARE * F.col("all")))
     )
-    given = frozenset(fold(r.key) for r in _floored(branching).select("key").collect()) - _TITLE - frozenset(fold(x) for x in f"{STREETS} {PREFIX_STREETS} {FRENCH_STREETS}".split())
-    # A hot word is a family name where half or more of it follows a given name, a title or an initial.
-    named: Counter = Counter()
-    if hot:
-        beside = F.lower("key").isin([*given, *_TITLE]) | (F.length("key") == 1) if len(given) < 10_000 else F.lit(True)
-        for r in pairs.where(F.lower("value").isin(hot) & beside).groupBy(F.lower("key").alias("a"), F.lower("value").alias("b")).agg(F.sum("n").alias("n")).collect():
-            if fold(r.a) in given or fold(r.a) in _TITLE or len(r.a) == 1:
-                named[r.b] += r.n
-    common -= {fold(w) for w, n in named.items() if 2 * n >= counted[w]}
     numbers = stats.where("kind in ('form', 'cue')").where(F.length(F.regexp_replace("key", "[^9]", "")) <= MOST_DIGITS)
-    kept = _floored(numbers.where("kind = 'form'")).select("key")
-    rows = numbers.join(kept, "key", "left_semi").collect()
     places = stats.where("kind in ('place', 'near')")
-    held = places.join(_floored(places.where("kind = 'place'")).select("key"), "key", "left_semi").collect()
-    stats.unpersist()
     share = min(1.0, 1.5 * WINDOW / max(1.0, size.length or 1.0))
     anywhere = {kind: 1 - prod(1 - min(1.0, words.get(w, 0) / total) * share for w in own) for kind, own in (("email", _MAIL), ("address", _STREET))}
-    seen, near = ({r.key: r.n for r in held if r.kind == kind} for kind in ("place", "near"))
-    return Lexicon(disclosed_forms(rows), given, common - given, Places(seen, near, {k: min(0.5, max(v, LEAST_RATE)) for k, v in anywhere.items()}))
+    anywhere = {k: min(0.5, max(v, LEAST_RATE)) for k, v in anywhere.items()}
+    kinds = {r.kind: r["count"] for r in stats.groupBy("kind").count().collect()}
+    # A given name has three pairs or more.
+    many = kinds.get("form", 0) + kinds.get("place", 0) + kinds.get("pair", 0) // LEAST_FOLLOWERS > MOST_TERMS and kinds.get("form", 0) + kinds.get("place", 0) + branching.count() > MOST_TERMS
+    if many:
+        odd, seen, near = _place_terms(places, anywhere)
+        file = Terms.written(_each(branching.select("key"), _given_terms, _TERM).union(_form_terms(numbers)).union(odd))
+        forms, given, parts = Terms(file, "form"), Terms(file, "given"), Terms(file, "part", _TITLE)
+        decided = Places({}, {}, anywhere, Terms(file, "place"))
+        decided.seen.update(seen)
+        decided.near.update(near)
+    else:
+        given, parts = frozenset(fold(r.key) for r in branching.select("key").collect()) - _NO_GIVEN, None
+        forms = disclosed_forms(numbers.collect())
+        held = places.collect()
+        decided = Places(*({r.key: r.n for r in held if r.kind == kind} for kind in ("place", "near")), anywhere)
+    # A hot word is a family name where half or more of it follows a given name, a title or an initial.
+    named = {r.b: r.n for r in _beside(pairs, hot, given).collect()} if hot else {}
+    common -= {fold(w) for w, n in named.items() if 2 * n >= counted[w]}
+    stats.unpersist()
+    return Lexicon(forms, given, frozenset(w for w in common if w not in given), decided, parts)
+
+
+KINDS = ("phone", "id_number", "other")
+
+
+def _leaning(own: Counter, prior: dict[str, float]) -> dict[str, float]:
+    n = sum(own[k] for k in KINDS)
+    return {k: (own[k] + prior[k]) / (n + 1) for k in KINDS}
+
+
+class Shapes:
+    """What decides about forms: of each shape the number of its forms and their cues. A
+    form leans with one cue on the kinds of its shape, a shape on those of all numbers
+    with its signs and letters."""
+
+    def __init__(self, shapes: dict[str, tuple[int, Counter]]):
+        signs: dict[str, Counter] = {}
+        for shape, (_, n) in shapes.items():
+            signs.setdefault(shape.rstrip("0123456789"), Counter()).update(n)
+        self.shared = {shape: _leaning(n, _leaning(signs[shape.rstrip("0123456789")], dict.fromkeys(KINDS, 1 / 3))) for shape, (_, n) in shapes.items()}
+        self.n_kind = {k: sum(n[k] + forms * self.shared[shape][k] for shape, (forms, n) in sorted(shapes.items())) for k in KINDS}
+
+    def kind(self, form: str, own: Counter) -> str | None:
+        """The kind as which a form with these cues is disclosed."""
+        total = sum(self.n_kind.values())
+        p = _leaning(own, self.shared[shape_of(form)])
+        score = {k: log2(p[k] * total / self.n_kind[k]) if p[k] and self.n_kind[k] else -99.0 for k in KINDS}
+        best = max(score, key=lambda k: score[k])
+        return best if best != "other" and score[best] > LEAST_PMI else None
 
 
 def disclosed_forms(rows) -> dict[str, str]:
-    """Kind of each form whose PMI with the cues of a kind exceeds the threshold. A form
-    leans with one cue on the kinds of its shape, a shape on those of all numbers with
-    its signs and letters."""
-    kinds = ("phone", "id_number", "other")
+    """Kind of each form whose PMI with the cues of a kind exceeds the threshold."""
     joint = {form: Counter() for form in {r["key"] for r in rows}}
     for r in rows:
         if r["kind"] == "cue":
             joint[r["key"]][r["value"]] += r["n"]
-    signs: dict[str, Counter] = {}
-    shapes: dict[str, Counter] = {}
+    shapes: dict[str, tuple[int, Counter]] = {}
     for form, n in joint.items():
-        signs.setdefault(shape_of(form).rstrip("0123456789"), Counter()).update(n)
-        shapes.setdefault(shape_of(form), Counter()).update(n)
-
-    def leaning(own: Counter, prior: dict[str, float]) -> dict[str, float]:
-        n = sum(own[k] for k in kinds)
-        return {k: (own[k] + prior[k]) / (n + 1) for k in kinds}
-
-    result, shared = {}, {}
-    for form, own in joint.items():
-        shape = shape_of(form)
-        if shape not in shared:
-            above = leaning(signs[shape.rstrip("0123456789")], dict.fromkeys(kinds, 1 / 3))
-            shared[shape] = leaning(shapes[shape], above)
-    n_kind = Counter()
-    for form, own in joint.items():
-        n_kind.update({k: own[k] + shared[shape_of(form)][k] for k in kinds})
-    total = sum(n_kind.values())
-    for form, own in joint.items():
-        p = leaning(own, shared[shape_of(form)])
-        score = {k: log2(p[k] * total / n_kind[k]) if p[k] and n_kind[k] else -99.0 for k in kinds}
-        best = max(score, key=lambda k: score[k])
-        if best != "other" and score[best] > LEAST_PMI:
-            result[form] = best
-    return result
+        forms, cues = shapes.get(shape_of(form), (0, Counter()))
+        shapes[shape_of(form)] = forms + 1, cues + n
+    decided = Shapes(shapes)
+    return {form: kind for form, own in joint.items() if (kind := decided.kind(form, own))}
 
 
 def _texts(notes: DataFrame) -> DataFrame:

@@ -117,6 +117,18 @@ def test_followers_of_streets_decide(spark, notes):
     assert sorted(r.memory_id for r in found.collect()) == [x[0] for x in lives]
 
 
+def test_rare_terms_count_however_many_there_are(spark, notes, monkeypatch):
+    """Terms beyond those that are held in memory are looked up, none is dropped."""
+    rare = [(f"v{i}", f"The user works with Lukas {f} on the garden. Call 07{i} 5{i}{i}.", f"User lives at {i + 3} Kedvux Mews Road, Lokdale.") for i, f in enumerate("Samkel Dopkel Libkel Tudkel".split())]
+    rare = notes.union(spark.createDataFrame(rare, "memory_id string, content string, facts string"))
+    whole = sorted(map(tuple, pii.find(rare).collect()))
+    assert {x[6] for x in whole if x[0].startswith("v")} >= {f"Lukas {f}" for f in "Samkel Dopkel Libkel Tudkel".split()}
+    clean = sorted(map(tuple, pii.sanitise(rare).collect()), key=str)
+    monkeypatch.setattr(pii, "MOST_TERMS", 20)
+    assert sorted(map(tuple, pii.find(rare).collect())) == whole
+    assert sorted(map(tuple, pii.sanitise(rare).collect()), key=str) == clean
+
+
 def test_no_notes(spark):
     empty = spark.createDataFrame([], "memory_id string, content string, facts string")
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
