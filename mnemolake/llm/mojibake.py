@@ -4,7 +4,7 @@ Minimum description length. A text is cut into segments (lines, then sentences).
 For each segment with signs outside ASCII every decoding chain that is valid
 gives a candidate. A candidate's description is its size under zstandard with the
 best of the per-language dictionaries, with an escape for each character that the
-language's sample never showed (a longer one if no language shows its block), plus the cost of its chain; the shortest
+language never shows (a longer one if no language shows its block), plus the cost of its chain; the shortest
 description wins, the unchanged segment having no chain cost. Chains of several steps are
 searched with a beam, by their total with the costs of all steps.
 
@@ -16,9 +16,10 @@ the signs less rare by that cost too (``Signs``). Replacement
 characters and C1 controls mark a segment as garbled even where no chain restores
 it.
 
-Dictionaries are trained on at most ``SAMPLE`` texts per language label (smallest
-id hashes) without suspicious ones, then again on those that the first dictionaries
-leave unchanged; everything else covers all texts, whole.
+Counts, alphabets and dictionaries are learnt from all texts with a language label
+but the suspicious ones, then again from those that the first dictionaries leave
+unchanged. Where a label has more than ``BLOCK`` characters, each block of its texts
+has a dictionary, and that of the label is trained on those of its blocks.
 """
 
 from __future__ import annotations
@@ -27,19 +28,19 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from math import log2
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
-
-SAMPLE = 400
+BLOCK = 32_000_000
 DICTIONARY_BYTES = 65_536
+# A sign belongs to a language that shows it in two texts or more, and in more than this share.
+LEAST_SHARE = 1 / 400
 # A chain costs more where more of them are tried (8 x 13 legacy ones) and where each segment is open to them.
 STEP_BITS, LEGACY_BITS = 6, 16
 ASCII_BITS, UNSEEN_BITS = 5, 24
@@ -58,7 +59,7 @@ _SPLIT = re.compile(r"(?<=\n)|(?<=[.!?。！？])(?=\s)|(?<=。)|(?<=\"<\|>)")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _C1 = re.compile("[\x80-\x9f]")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-# Two signs of a one-byte encoding close together; much of a text in them keeps it out of the first sample.
+# Two signs of a one-byte encoding close together; much of a text in them keeps it out of what is learnt first.
 _DENSE = re.compile(r"[\x80-\x9f¡-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™](?:[^\s][^\s]?)?[\x80-\x9f¡-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
 
 
@@ -128,8 +129,8 @@ def _reread(raw: bytes, real: str) -> str | None:
 
 class Signs:
     """How rare the signs outside ASCII are, in bits, in the language that shows each
-    most. Counts are ruled by the majority of a sample, so some garbled texts in it
-    do no harm, as they would in a dictionary."""
+    most. Counts are ruled by the majority of the texts, so some garbled ones among
+    them do no harm, as they would in a dictionary."""
 
     def __init__(self, counts: Iterable[dict[str, int]]):
         self.rare: dict[str, float] = {}
@@ -222,7 +223,7 @@ class Codes:
         """The segment under the chain of the least total: its description and the cost
         of the steps. Of each step the ``BEAM`` best go on, also those that a further
         step must bear out."""
-        least, best, beam, tried = self.bits(segment), segment, [(0, segment)], {segment}
+        least, best, beam, tried = None, segment, [(0, segment)], {segment}
         for _ in range(MOST_STEPS):
             after = []
             for cost, text in beam:
@@ -231,6 +232,8 @@ class Codes:
                     found |= {t: cost + STEP_BITS for e in UTF8_READ_AS if (t := utf8_step(text, e)) is not None}
                 for t in sorted(found.keys() - tried):
                     tried.add(t)
+                    if least is None:  # what has no candidates needs no description
+                        least = self.bits(segment)
                     total = found[t] + self.bits(t, least + SLACK_BITS - found[t])
                     if total < least + SLACK_BITS:
                         after.append((total, found[t], t))
@@ -251,61 +254,88 @@ class Codes:
         return restored, lost or restored != text
 
 
-def _learn(label: str, texts: list[str]) -> tuple[str, dict[str, int], str, bytes]:
-    """Counts of characters, alphabet and dictionary of one language's texts."""
-    counts, inside = Counter(), Counter()
+_LEARNT = "label string, texts long, counts string, inside string, made binary"
+
+
+def _dictionary(pieces: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-DICTIONARY_BYTES:]
+
+
+def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts of characters and of the texts with each, and the dictionary of one block."""
+    counts, inside, texts = Counter(), Counter(), sorted(pdf.text)
     for t in texts:
         counts.update(t)
         inside.update(set(t))
-    pieces = [s.encode() for t in texts for s in _SPLIT.split(t) if len(s) > 7]
-    try:
-        made = zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
-    except zstandard.ZstdError:
-        made = b"".join(pieces)[-DICTIONARY_BYTES:]
-    return label, dict(counts), "".join(sorted(c for c, n in inside.items() if n > 1 or c.isascii())), made
+    made = _dictionary([s.encode() for t in texts for s in _SPLIT.split(t) if len(s) > 7])
+    return pd.DataFrame({"label": [pdf.label.iloc[0]], "texts": [len(texts)], "counts": [json.dumps(counts)], "inside": [json.dumps(inside)], "made": [made]})
 
 
-def _learnt(sample: DataFrame, keep: Callable[[str], bool]) -> list[tuple[str, dict[str, int], str, bytes]]:
-    """What the kept texts of each label teach: texts are judged in all tasks, each label
-    is learnt in one."""
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one label as one."""
+    counts, inside, made = Counter(), Counter(), sorted(map(bytes, pdf.made))
+    for c, i in zip(pdf.counts, pdf.inside):
+        counts.update(json.loads(c))
+        inside.update(json.loads(i))
+    if len(made) > 1:
+        made = [_dictionary([m[i : i + 256] for m in made for i in range(0, len(m), 256)])]
+    return pd.DataFrame({"label": [pdf.label.iloc[0]], "texts": [pdf.texts.sum()], "counts": [json.dumps(counts)], "inside": [json.dumps(inside)], "made": made})
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[keep(t) for t in pdf.text]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, counts, known, made = _learn(pdf.label.iloc[0], sorted(pdf.text))
-        return pd.DataFrame({"label": [label], "counts": [json.dumps(counts)], "known": [known], "made": [made]})
+def _learnt(rows: DataFrame, blocks: dict[str, int], keep: Callable[[str], bool]) -> list[tuple[str, dict[str, int], str, bytes]]:
+    """What the kept texts of each label teach: texts are judged in all tasks, each block
+    of a label is learnt in one."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    tasks = sample.sparkSession.sparkContext.defaultParallelism
-    kept = sample.repartition(tasks, F.xxhash64("text")).mapInPandas(judge, "label string, text string")
-    rows = kept.groupBy("label").applyInPandas(run, "label string, counts string, known string, made binary").collect()
-    return [(r.label, json.loads(r.counts), r.known, bytes(r.made)) for r in sorted(rows, key=lambda r: r.label)]
+    if not blocks:
+        return []
+    of = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
+    kept = rows.mapInArrow(judge, "label string, text string").withColumn("block", F.pmod(F.xxhash64("text"), of[F.col("label")]))
+    each = kept.groupBy("label", "block").applyInPandas(lambda pdf: _learn(pdf), _LEARNT)
+    made = each.groupBy("label").applyInPandas(lambda pdf: _merge(pdf), _LEARNT).collect()
+    known = lambda r: "".join(sorted(c for c, n in json.loads(r.inside).items() if n > max(1, r.texts * LEAST_SHARE) or c.isascii()))
+    return [(r.label, json.loads(r.counts), known(r), bytes(r.made)) for r in sorted(made, key=lambda r: r.label)]
 
 
-def train(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Codes:
-    """A dictionary for each language label of two letters, on a bounded sample of its
-    texts. Samples stay in the executors; the driver gets dictionaries and alphabets."""
+def train(documents: DataFrame, text: str = "text", label: str = "lang") -> Codes:
+    """A dictionary for each language label of two letters, on all its texts but the
+    shortest. Texts stay in the executors; the driver gets dictionaries and counts."""
     name = F.lower(F.trim(F.col(label)))
-    rows = documents.select(name.alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("h")).where("label is not null and label rlike '^[a-z]{2}$' and length(text) between 40 and 20000")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
-    sample = Scratch(documents.sparkSession, "encodings").keep(rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("label", "text"), "sample")
-    seen = _counts(sample)
-    first = Codes(_learnt(sample, lambda t: not _suspicious(t, seen)))
-    return Codes(_learnt(sample, lambda t: not first.text(t)[1]))
+    rows = documents.select(name.alias("label"), F.col(text).alias("text")).where("label is not null and label rlike '^[a-z]{2}$' and length(text) >= 40")
+    by = _counts(rows)
+    seen = Signs(by.values())
+    blocks = {k: ceil(sum(n.values()) / BLOCK) for k, n in by.items()}
+    first = Codes(_learnt(rows, blocks, lambda t: not _suspicious(t, seen)))
+    return Codes(_learnt(rows, blocks, lambda t: not first.text(t)[1]))
 
 
-def _counts(sample: DataFrame) -> Signs:
-    """Signs of all texts of a sample."""
-    chars = sample.select("label", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("label", "c").agg(F.count("*").alias("n"))
+def _counts(rows: DataFrame) -> dict[str, dict[str, int]]:
+    """Characters of all texts by label."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, Counter] = {}
+        for batch in batches:
+            for name, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                by.setdefault(name, Counter()).update(text)
+        flat = [(name, c, n) for name, seen in by.items() for c, n in seen.items()]
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*flat)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()))], ["label", "c", "n"])
+
     by: dict[str, dict[str, int]] = {}
-    for r in chars.collect():  # characters by label
+    for r in rows.mapInArrow(count, "label string, c string, n long").groupBy("label", "c").agg(F.sum("n").alias("n")).collect():
         by.setdefault(r.label, {})[r.c] = r.n
-    return Signs(by.values())
+    return by
 
 
 def _suspicious(text: str, signs: Signs) -> bool:
-    """Whether a text might hold garbled parts, to keep it out of the first sample."""
+    """Whether a text might hold garbled parts, to keep it out of what is learnt first."""
+    if text.isascii():
+        return False
     if _LOST.search(text) or any(utf8_step(text, e) is not None for e in UTF8_READ_AS):
         return True
     parts = [s for s in _SPLIT.split(text) if len(s) > 7]

@@ -1,6 +1,7 @@
 """The nine training-data operators against brute force, round trips and cases."""
 
 import random
+from math import log2
 
 import numpy as np
 import pytest
@@ -482,3 +483,17 @@ def test_text_misread_into_cyrillic(spark, corpus, real, shown):
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None)], "id long, text string")
     assert rows(tokens.count_tokens(df)) == [(1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize("block", [32_000_000, 8_000])
+def test_all_texts_are_learnt_from(spark, corpus, monkeypatch, block):
+    """Counts and alphabets are those of every text, in one block or several."""
+    monkeypatch.setattr(mojibake, "BLOCK", block)
+    more = [(3000 + i, f"J’ai marché {i} pas aujourd’hui, c’était agréable{' et ça va' if i % 5 == 0 else ''}.", "fr") for i in range(700)]
+    df = spark.createDataFrame([*corpus, *more], "doc_id long, text string, lang string")
+    codes = mojibake.train(df)
+    french = "".join(t for _, t, lang in [*corpus, *more] if lang == "fr")
+    assert codes.signs.rare["ç"] == pytest.approx(min(log2(len(s) / s.count("ç")) for s in (french, "".join(t for _, t, lang in corpus if lang == "pt")) if "ç" in s))
+    assert codes.signs.rare["é"] == pytest.approx(min(log2(len(s) / s.count("é")) for s in ("".join(t for _, t, lang in [*corpus, *more] if lang == k) for k in ("fr", "en", "pt")) if "é" in s))
+    assert codes.alphabets["fr"] >= set("ç’éà")
+    assert codes.text(more[0][1].encode().decode("latin-1")) == (more[0][1], True) and not codes.text(more[1][1])[1]
